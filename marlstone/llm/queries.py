@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup
+from marlstone.llm import exact_dedup, quality_rules, token_mix
 from marlstone.llm.shared import documents
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
+def op2_token_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_mix.mix_sources(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -26,7 +34,7 @@ FROM d JOIN g ON d.content = g.content
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_token_mix": op2_token_mix, "op4_exact_dedup": op4_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -84,11 +84,9 @@ def word_array(text: str) -> str:
 
 
 def word_count(text: Column | str) -> Column:
-    """Number of words, 0 for null: runs of white space inside the trimmed text, and one."""
+    """Number of words, 0 for null: each word becomes one letter, and the white space goes."""
     col = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    trimmed = F.trim(col, F.lit(SPACE_CHARS))
-    gaps = F.length(F.regexp_replace(F.regexp_replace(trimmed, r"[^\x20\x09-\x0D]+", "x"), SPACE, ""))
-    return F.when(trimmed == "", F.lit(0)).otherwise(gaps).cast("bigint")
+    return F.length(F.regexp_replace(F.regexp_replace(col, r"[^\x20\x09-\x0D]+", "x"), SPACE, "")).cast("bigint")
 
 
 def fold_of(doc_id: str = "doc_id") -> Column:
