@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, quality_rules, token_mix
+from marlstone.llm import exact_dedup, near_dup, quality_rules, token_mix
 from marlstone.llm.shared import documents
 
 
@@ -22,6 +22,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.simhash_groups(documents(spark, sf_dir))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents
@@ -34,7 +38,7 @@ FROM d JOIN g ON d.content = g.content
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_token_mix": op2_token_mix, "op4_exact_dedup": op4_exact_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_token_mix": op2_token_mix, "op4_exact_dedup": op4_exact_dedup, "op9_simhash_near_dup": op9_simhash_near_dup}
 
 
 def oracle_sql() -> dict[str, str]:
