@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, near_dup, quality_rules, token_mix
+from marlstone.llm import byte_bpe, exact_dedup, near_dup, quality_rules, token_mix, warc
 from marlstone.llm.shared import documents
 
 
@@ -22,6 +23,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(byte_bpe.RANKS), with_ids=False)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.simhash_groups(documents(spark, sf_dir))
 
@@ -37,9 +46,34 @@ FROM d JOIN g ON d.content = g.content
 """
 
 
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest, payload FROM p
+), g AS (
+  SELECT payload, max(page_id) AS last FROM d WHERE payload_bytes >= 1000 GROUP BY payload
+)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN g.last <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.last <> d.page_id THEN g.last END AS refers_to
+FROM d LEFT JOIN g ON d.payload_bytes >= 1000 AND d.payload = g.payload
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_token_mix": op2_token_mix, "op4_exact_dedup": op4_exact_dedup, "op9_simhash_near_dup": op9_simhash_near_dup}
+    return {
+        f.__name__: f
+        for f in (
+            op1_quality_rules,
+            op2_token_mix,
+            op4_exact_dedup,
+            op5_byte_bpe,
+            op8_warc,
+            op9_simhash_near_dup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_warc": OP8_SQL}

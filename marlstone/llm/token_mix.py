@@ -87,6 +87,34 @@ def sainte_lague(parties: DataFrame, votes: str, seats: str, most: str, group: S
     )
 
 
+def _placed(rows: DataFrame, aimed: DataFrame, seed: int) -> DataFrame:
+    """rows(doc_id, source, size) with __nth, the source's number, and __shard."""
+    right = aimed.select(F.col("source").alias("__s"), "__nth", "n_shards")
+    placed = rows.join(right, F.col("source").eqNullSafe(F.col("__s")))
+    return placed.withColumn("__shard", F.pmod(seeded(seed, "shard", "doc_id"), F.col("n_shards"))).drop("__s", "n_shards")
+
+
+def shard_quotas(rows: DataFrame, weights: Sequence[int], max_repeat: int, block_words: int, shard_rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows(doc_id, source, size): the sources with their targets, and the shards with blocks and quota."""
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    aimed = source_targets(sources, weights, max_repeat)
+    aimed, _ = written(aimed.withColumn("n_shards", F.ceil(F.col("n_rows") / F.lit(shard_rows)).cast("bigint")), "mix-targets")
+
+    shards = _placed(rows, aimed, seed).groupBy("__nth", "__shard").agg(F.sum("size").alias("words"))
+    blocks = F.when(F.col("words") > 0, F.greatest(F.round(F.col("words") / F.lit(block_words)), F.lit(1))).otherwise(F.lit(0))
+    shards, _ = written(shards.withColumn("blocks", blocks.cast("bigint")), "mix-shards")
+    # A source's seats are blocks of its own, so a seat is worth its own words; none takes more than max_repeat times its blocks.
+    own = shards.groupBy("__nth").agg(F.sum("blocks").alias("blocks"))
+    votes = aimed.join(own, "__nth").withColumn("most", F.col("blocks") * F.lit(max_repeat))
+    votes = votes.withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0)))
+    votes = votes.withColumn("seats", F.round(F.sum("votes").over(Window.partitionBy())).cast("bigint"))
+    seated = sainte_lague(votes, "votes", "seats", "most", [], ["__nth"]).select("__nth", F.col("won").alias("seats"))
+    lots = shards.join(seated, "__nth").withColumn("most", F.col("blocks") * F.lit(max_repeat))
+    lots = sainte_lague(lots, "blocks", "seats", "most", ["__nth"], ["__shard"])
+    quotas, _ = written(lots.select("__nth", "__shard", "words", "blocks", F.col("won").alias("quota")), "mix-quotas")
+    return aimed, quotas
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[int] = (1, 2, 3),
@@ -103,35 +131,13 @@ def mix_sources(
     Null texts and texts without words have size 0 and take 0 words. A null source is a source of its own, the
     last. A null id is an id of its own. Rows that are repeated stand side by side and share their source's
     words like any others. Other columns are ignored; an empty table gives no rows. Reruns agree: hashes of
-    seed, id and size alone give the order.
+    seed and id, and sizes, give the order.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     rows, _ = written(sized, "mix-sizes")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    aimed = source_targets(sources, weights, max_repeat)
-    aimed = aimed.withColumn("n_shards", F.ceil(F.col("n_rows") / F.lit(shard_rows)).cast("bigint"))
-    aimed, _ = written(aimed, "mix-targets")
-
-    placed = (
-        rows.join(aimed.select(F.col("source").alias("__s"), "__nth", "n_shards"), F.col("source").eqNullSafe(F.col("__s")))
-        .withColumn("__shard", F.pmod(seeded(seed, "shard", "doc_id"), F.col("n_shards")))
-        .drop("__s", "n_shards")
-    )
-    shards = placed.groupBy("__nth", "__shard").agg(F.sum("size").alias("words"))
-    shards = shards.withColumn("blocks", F.when(F.col("words") > 0, F.greatest(F.round(F.col("words") / F.lit(block_words)), F.lit(1))).otherwise(F.lit(0)).cast("bigint"))
-    shards, _ = written(shards, "mix-shards")
-    # A source's seats are blocks of its own, so a seat is worth its own words; none takes more than max_repeat times its blocks.
-    own = shards.groupBy("__nth").agg(F.sum("blocks").alias("blocks"))
-    votes = aimed.join(own, "__nth").withColumn("most", F.col("blocks") * F.lit(max_repeat))
-    votes = votes.withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0)))
-    votes = votes.withColumn("seats", F.round(F.sum("votes").over(Window.partitionBy())).cast("bigint"))
-    seated = sainte_lague(votes, "votes", "seats", "most", [], ["__nth"]).select("__nth", F.col("won").alias("seats"))
-    lots = shards.join(seated, "__nth").withColumn("most", F.col("blocks") * F.lit(max_repeat))
-    lots = sainte_lague(lots, "blocks", "seats", "most", ["__nth"], ["__shard"])
-    quotas, _ = written(lots.select("__nth", "__shard", "words", "blocks", F.col("won").alias("quota")), "mix-quotas")
-
+    aimed, quotas = shard_quotas(rows, weights, max_repeat, block_words, shard_rows, seed)
     lying = Window.partitionBy("__nth", "__shard").orderBy("__at", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = placed.withColumn("__at", seeded(seed, "order", "doc_id")).withColumn("__end", F.sum("size").over(lying))
+    dealt = _placed(rows, aimed, seed).withColumn("__at", seeded(seed, "order", "doc_id")).withColumn("__end", F.sum("size").over(lying))
     dealt = dealt.join(quotas.where("blocks > 0"), ["__nth", "__shard"], "left")
     dealt = dealt.withColumn("__u", F.pmod(seeded(seed, "offset", "__nth", "__shard"), F.col("blocks")))
     taken = F.expr(f"size * (quota div blocks) + {selected_before('__end')} - {selected_before('(__end - size)')}")
@@ -149,3 +155,24 @@ def selected_before(at: str) -> str:
     upto = f"(({block}) * (quota % blocks) + __u) div blocks"
     this = f"((({block}) + 1) * (quota % blocks) + __u) div blocks - {upto}"
     return f"((({upto}) * words + (({at} * blocks) % words) * ({this})) div blocks)"
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, block_words: int = 64, shard_rows: int = 512, seed: int = 20) -> DataFrame:
+    """docs(doc_id, text, source, ...) as the mix gives them: each row as often as it is taken, whole, every column as it was.
+
+    The same targets, seats and quotas as mix_sources, but no text is cut: a shard's rows lie in the order of
+    size and seeded hash, and row i is taken floor((i + 1) r + u) - floor(i r + u) times, where r is the shard's
+    quota by block and u a seeded offset. Neighbours are of like size, so the words taken come near the quota.
+    Rows without words are taken like the others of their shard, and not where it has no words at all.
+    """
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
+    rows, _ = written(sized, "mix-sizes")
+    aimed, quotas = shard_quotas(rows, weights, max_repeat, block_words, shard_rows, seed)
+    whole = docs.select("doc_id", "source", word_count("text").alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    lying = Window.partitionBy("__nth", "__shard").orderBy("size", "__at", F.col("doc_id").asc_nulls_last())
+    dealt = _placed(whole, aimed, seed).withColumn("__at", seeded(seed, "order", "doc_id")).withColumn("__i", F.row_number().over(lying).cast("bigint"))
+    dealt = dealt.join(quotas.where("blocks > 0"), ["__nth", "__shard"])
+    dealt = dealt.withColumn("__u", F.pmod(seeded(seed, "offset", "__nth", "__shard"), F.col("blocks")))
+    copies = F.expr("(__i * quota + __u) div blocks - ((__i - 1) * quota + __u) div blocks")
+    taken = dealt.withColumn("__copies", copies.cast("int")).where("__copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select("__row.*")
