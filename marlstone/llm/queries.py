@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import byte_bpe, exact_dedup, near_dup, quality_rules, token_mix, warc
-from marlstone.llm.shared import documents
+from marlstone.llm import byte_bpe, exact_dedup, language_id, license_scan, near_dup, quality_rules, rule_quality, token_mix, toxicity, warc
+from marlstone.llm.shared import documents, labels
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_token_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_mix.mix_sources(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -27,6 +31,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(byte_bpe.RANKS), with_ids=False)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(documents(spark, sf_dir)).drop("spans")
+
+
+def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -35,6 +47,10 @@ def op9_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.simhash_groups(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents
@@ -67,13 +83,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_quality_rules,
             op2_token_mix,
+            op3_license_scan,
             op4_exact_dedup,
             op5_byte_bpe,
+            op6_language_id,
+            op7_rule_quality,
             op8_warc,
             op9_simhash_near_dup,
+            op10_toxicity,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"op3_license_scan": license_scan.duckdb_sql(), "op4_exact_dedup": OP4_SQL, "op8_warc": OP8_SQL}

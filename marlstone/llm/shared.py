@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def lowered(column: pa.Array) -> list[bytes]:
+    """Lower-cased UTF-8 of a batch's texts; empty for null."""
+    return [b"" if t is None else t.encode() for t in pc.utf8_lower(column).to_pylist()]
+
+
 def _remove_quietly(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         try:
