@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import word_array, written
+from marlstone.llm.shared import SPACE_SQL, word_array, written
 
 #: Fixed-point units in 1.0 of a transformed statistic.
 UNIT = 1024
@@ -84,7 +84,7 @@ def text_statistics(docs: DataFrame, rules: Rules = Rules(), text_col: str = "te
     text = f"coalesce(`{text_col}`, '')"
     of_words = f"named_struct('n', size(ws), 'chars', char_length(concat_ws('', ws)), 'repeat', {repeated_words_sql('ws', rules.window)})"
     of_lines = "named_struct('n', size(ls), 'dup', size(ls) - size(array_distinct(ls)))"
-    lines = rf"filter(split({text}, '\n'), l -> trim(BOTH ' \t\n\u000B\f\r' FROM l) <> '')"
+    lines = rf"filter(split({text}, '\n'), l -> trim(BOTH {SPACE_SQL} FROM l) <> '')"
     parts = docs.select(
         *keep,
         F.expr(_let(word_array(f"`{text_col}`"), "ws", of_words)).alias("__w"),

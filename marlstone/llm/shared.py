@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: A run of white space, and the same characters as a list for trim().
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: SPACE_CHARS as a SQL string; SQL strings have no escape for the form feed but its number.
+SPACE_SQL = r"' \t\n\u000B\u000C\r'"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def word_array(text: str) -> str:
     """SQL for the words of the string expression ``text``: the runs without white space."""
-    trimmed = rf"trim(BOTH ' \t\n\u000B\f\r' FROM coalesce({text}, ''))"
+    trimmed = f"trim(BOTH {SPACE_SQL} FROM coalesce({text}, ''))"
     return rf"filter(split({trimmed}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
 
 
@@ -96,6 +98,16 @@ def word_count(text: Column | str) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(col, r"[^\x20\x09-\x0D]+", "x"), SPACE, "")).cast("bigint")
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as a struct, so that an operator's own columns clash with none; ``select("name.*")`` gives them back."""
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
 def fold_of(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; remainder 0 is held out from training. Null ids are never trained on."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5))
