@@ -71,7 +71,7 @@ class Settings:
     """Production parameters."""
 
     #: The training sample: at most so many documents of a language and in all, and code points of each.
-    per_language: int = 1500
+    per_language: int = 1000
     most_documents: int = 12000
     most_chars: int = 20000
     sizes: tuple[int, ...] = (2, 3, 4)
@@ -163,32 +163,31 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     gained = np.concatenate([[0.0], np.cumsum(others)])
     if (gained - np.minimum.accumulate(gained)).max() <= switch:
         return np.full(len(scores), best, dtype=np.int64)
-    value, back = scores[0].copy(), np.zeros(scores.shape, dtype=np.int32)
-    stay = np.arange(scores.shape[1])
-    for t in range(1, len(scores)):
-        top = int(value.argmax())
-        moved = value[top] - switch > value
-        back[t] = np.where(moved, top, stay)
-        value = np.where(moved, value[top] - switch, value) + scores[t]
-    path = np.empty(len(scores), dtype=np.int64)
-    path[-1] = int(value.argmax())
-    for t in range(len(scores) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def spans(words: np.ndarray, model: Model) -> list[tuple[str, int, int]]:
-    """(language, first word, end word) of the labelled spans of a text's words."""
-    if not len(words):
+    # A few languages and many words: plain lists are faster than small arrays here.
+    rows = scores.tolist()
+    value, tops, moved = rows[0], [], []
+    for row in rows[1:]:
+        most = max(value)
+        tops.append(value.index(most))
+        most -= switch
+        moved.append([x < most for x in value])
+        value = [(most if x < most else x) + y for x, y in zip(value, row)]
+    path = [value.index(max(value))]
+    for top, went in zip(reversed(tops), reversed(moved)):
+        path.append(top if went[path[-1]] else path[-1])
+    return np.array(path[::-1], dtype=np.int64)
+
+
+def spans(path: np.ndarray, model: Model) -> list[tuple[str, int, int]]:
+    """(language, first word, end word) of the spans of a text's path."""
+    if not len(path):
         return []
-    path = viterbi(words[:, 1:], model.settings.switch)
     cuts = np.flatnonzero(np.diff(path)) + 1
     return [(model.languages[path[a]], int(a), int(b)) for a, b in zip([0, *cuts], [*cuts, len(path)])]
 
 
-def judge(words: np.ndarray, model: Model) -> tuple[str, float]:
+def judge(words: np.ndarray, path: np.ndarray, model: Model) -> tuple[str, float]:
     """The language with the most letters in its spans, and its share of them, times how sure it is among all."""
-    path = viterbi(words[:, 1:], model.settings.switch)
     letters = np.bincount(path, weights=words[:, 0], minlength=len(model.languages))
     best = int(letters.argmax())
     own = words[path == best, 1:].sum(axis=0)
@@ -209,8 +208,8 @@ def training_rows(docs: DataFrame, settings: Settings) -> tuple[list[bytes], lis
     return lowered(rows["text"].combine_chunks()), rows["lang"].to_pylist()
 
 
-def identify_languages(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score, and spans as an array of (lang, first, end) in words.
+def identify_languages(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score, and ``with_spans`` spans as an array of (lang, first, end) in words.
 
     Null texts and texts without a letter get "und" and score 0. Without any training row every text does. Null
     languages are not learned from; a null id counts as held out. Repeated rows get repeated results. Other
@@ -231,11 +230,13 @@ def identify_languages(docs: DataFrame, settings: Settings = Settings(), id_col:
                 if not model.languages or not len(words[i]) or not _LETTER.search(raw.decode()):
                     names.append(UNDETERMINED), scores.append(0.0), parts.append([])
                     continue
-                name, score = judge(words[i], model)
+                path = viterbi(words[i][:, 1:], model.settings.switch)
+                name, score = judge(words[i], path, model)
                 names.append(name), scores.append(score)
-                parts.append([{"lang": x, "first": a, "end": b} for x, a, b in spans(words[i], model)])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "spans": pa.array(parts, kind)})
+                parts.append([{"lang": x, "first": a, "end": b} for x, a, b in spans(path, model)] if with_spans else [])
+            columns = {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+            yield pa.RecordBatch.from_pydict(columns | ({"spans": pa.array(parts, kind)} if with_spans else {}))
 
     rows = named.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,first:int,end:int>>")
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double" + ", spans array<struct<lang:string,first:int,end:int>>" * with_spans)

@@ -33,7 +33,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify_languages(documents(spark, sf_dir)).drop("spans")
+    return language_id.identify_languages(documents(spark, sf_dir), with_spans=False)
 
 
 def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,169 @@
+"""Language, quality and toxicity: held-out accuracy, whole texts, and odd tables."""
+
+import itertools
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tables import empty, odd, odd_rows
+
+from marlstone.llm import grams, language_id, rule_quality, toxicity
+from marlstone.llm.shared import documents, labels
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark, SF)
+
+
+@pytest.fixture(scope="module")
+def marks(spark):
+    return labels(spark, SF)
+
+
+def held_out(doc_id):
+    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def test_language_held_out(docs):
+    found = language_id.identify_languages(docs).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").toPandas()
+    assert (found.held_out == found.doc_id.map(held_out)).all()
+    rest = found[found.held_out]
+    assert (rest.lang_pred == rest.lang).mean() >= 0.99
+    assert found.score.between(0, 1).all()
+
+
+def test_language_of_mixed_texts(docs):
+    model = language_id.train(*language_id.training_rows(docs, language_id.Settings()))
+    texts = {}
+    for r in docs.where("n_chars between 400 and 900").orderBy("doc_id").limit(200).collect():
+        words = language_id.score_words(model, [r["text"].lower().encode()])[0]
+        # Documents of one language alone: some have lines of another.
+        if len(set(language_id.viterbi(words[:, 1:], model.settings.switch).tolist())) == 1:
+            texts.setdefault(r["lang"], r["text"])
+    assert len(texts) == 4
+    for a, b in itertools.permutations(sorted(texts), 2):
+        words = language_id.score_words(model, [(texts[a] + " " + texts[b]).lower().encode()])[0]
+        spans = language_id.spans(language_id.viterbi(words[:, 1:], model.settings.switch), model)
+        border = len(language_id.score_words(model, [texts[a].lower().encode()])[0])
+        assert [s[0] for s in spans] == [a, b]
+        assert abs(spans[0][2] - border) <= 6
+
+
+def test_scripts_narrow_the_candidates():
+    model = language_id.train(["привет мир это текст".encode() * 5, b"hello world this is text" * 5, "γεια σου κόσμε".encode() * 5], ["ru", "en", "el"])
+    words = language_id.score_words(model, ["ж ψ q zzz".encode()])[0]
+    assert [model.languages[i] for i in words[:, 1:].argmax(axis=1)] == ["ru", "el", "en", "en"]
+
+
+def test_viterbi_is_the_best_path():
+    random = np.random.default_rng(0)
+    for _ in range(200):
+        scores, switch = random.normal(0, 2, (random.integers(1, 6), 3)), float(random.choice([0.5, 2, 4]))
+
+        def value(path):
+            return sum(scores[i, k] for i, k in enumerate(path)) - switch * sum(a != b for a, b in zip(path, path[1:]))
+
+        best = max(value(p) for p in itertools.product(range(3), repeat=len(scores)))
+        assert value(language_id.viterbi(scores, switch).tolist()) == pytest.approx(best)
+
+
+def test_quality_held_out(docs, marks):
+    found = rule_quality.score_quality(docs, marks).join(marks, "doc_id").toPandas()
+    rest = found[found.held_out]
+    assert (rest.predicted == rest.quality).mean() >= 0.98
+    assert rest[rest.quality == 1].predicted.mean() >= 0.99
+    assert ((found.score >= 0.3) == (found.predicted == 1)).all() and found.score.between(0, 1).all()
+
+
+def test_compiled_rules_are_the_model(docs, marks):
+    x, y = rule_quality.training_rows(docs, marks, rule_quality.Settings())
+    model = rule_quality.train(x, y)
+    assert 0 < len(model.rules) < 60
+    scored = rule_quality.text_statistics(docs.limit(300), ["doc_id"]).withColumn("score", rule_quality.compiled(model)).toPandas()
+    np.testing.assert_allclose(scored.score, rule_quality.predicted(model, scored[list(rule_quality.STATISTICS)].to_numpy()), rtol=1e-9)
+
+
+def test_lasso_is_sparse():
+    random = np.random.default_rng(1)
+    z = (random.random((2000, 30)) < 0.5).astype(float)
+    y = (random.random(2000) < 1 / (1 + np.exp(-(3 * z[:, 0] - 3 * z[:, 1])))).astype(float)
+    weights, _ = rule_quality.fit_lasso(z, y, 0.02, 2000)
+    assert weights[0] > 1 and weights[1] < -1 and np.abs(weights[2:]).max() < 0.1 and (weights == 0).sum() > 15
+
+
+def test_toxicity_held_out(spark):
+    docs, marks = documents(spark, SF), labels(spark, SF)
+    found = toxicity.score_toxicity(docs, marks).join(marks, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    rest = found[found.held_out]
+    assert (rest.predicted == rest.toxic).mean() >= 0.94
+    assert rest[rest.toxic == 1].predicted.mean() >= 0.75
+    assert rest[rest.toxic == 0].predicted.mean() <= 0.05
+
+
+def toy():
+    clean = [b"the cat sat on the mat and looked at the bird in the tree %d" % i for i in range(60)]
+    return clean + [t + b" you horrible nastyword" for t in clean], [0] * 60 + [1] * 60
+
+
+def test_toxicity_of_misspellings_and_long_texts():
+    model = toxicity.train(*toy(), toxicity.Settings(epochs=6))
+    long = b"the bird sat in the tree and the cat looked at it " * 3000
+    scores = toxicity.score_texts(model, [b"the cat sat on the mat", b"such nastywordd people", long, long + b" nastyword " + long, b""])
+    assert scores[0] < 0.5 < scores[1] and scores[2] < 0.5 < scores[3] and scores[4] < 0.5
+
+
+def test_models_without_labels():
+    assert toxicity.score_texts(toxicity.train([], []), [b"x"])[0] == pytest.approx(0.01)
+    assert toxicity.score_texts(toxicity.train([b"a"], [1]), [b"x"])[0] == pytest.approx(0.99)
+    assert rule_quality.train(np.zeros((0, 10)), np.zeros(0)).bias == 0
+
+
+def test_odd_rows(spark, marks):
+    table, ids = odd(spark), sorted(str(r[0]) for r in odd_rows())
+    some = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (8, None, None), (11, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    for found in (language_id.identify_languages(table), rule_quality.score_quality(table, some), toxicity.score_toxicity(table, some)):
+        rows = found.collect()
+        assert sorted(str(r["doc_id"]) for r in rows) == ids
+        assert all(0 <= r["score"] <= 1 and r["held_out"] == held_out(r["doc_id"]) for r in rows)
+    named = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_languages(table).collect()}
+    assert [named[i] for i in (3, 4, 5, 11)] == ["und"] * 4 and named[8] == "en"
+
+
+def test_empty(spark, marks):
+    table, none = empty(spark), marks.limit(0)
+    for found in (language_id.identify_languages(table), rule_quality.score_quality(table, none), toxicity.score_toxicity(table, none), toxicity.score_toxicity(table, marks)):
+        assert found.collect() == []
+    some = odd(spark)
+    assert {r["score"] for r in rule_quality.score_quality(some, none).collect()} == {0.5}
+
+
+def test_grams_against_plain_python():
+    raw = "The café's naïve 漢字, ok a bb".lower().encode()
+    block = grams.Grams(raw, (3, 4), 16, grams.byte_classes(digits=True), whole_words=True)
+    clean = bytes(grams.byte_classes(digits=True)[np.frombuffer(raw, np.uint8)])
+    words = clean.split()
+    assert [clean[a - 1 : b - 1] for a, b in zip(block.starts, block.ends)] == words
+    wanted = []
+    for w in words:
+        padded = b" " + w + b" "
+        wanted.append(sum(max(0, len(padded) - n + 1) for n in (3, 4)) + 1)
+    assert block.counts().tolist() == wanted
+    same = grams.Grams(b"ab  ab", (3,), 16, grams.byte_classes(digits=False))
+    assert same.buckets[0][:2].tolist() == same.buckets[0][2:].tolist() and len(set(same.buckets[0].tolist())) == 2
+
+
+def test_long_texts_are_cut_without_loss():
+    table = np.ones((1 << 16, 1), dtype=np.float32)
+
+    def of_block(raw):
+        block = grams.Grams(raw, (3,), 16, grams.byte_classes(digits=True))
+        return block.starts - 1, block.sums(table)
+
+    text = b"some words here " * 40_000
+    values = grams.per_text([b"", text, b"end"], 1, of_block)
+    assert [len(v) for v in values] == [0, 120_000, 1]
+    assert values[1][:, 0].tolist() == [4, 5, 4] * 40_000
