@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import SPACE, written
+from marlstone.llm.shared import SPACE, quoted, whole_row, written
 
 
 def normalised(text: Column) -> Column:
@@ -78,7 +78,7 @@ def exact_dedup(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """docs without the rows whose text a kept row has; every column as it was."""
-    gone = exact_dedup(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha"))
-    own = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha"))
-    return own.join(gone, same, "left_anti").drop("__sha")
+    gone = exact_dedup(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    packed = docs.select(quoted(id_col).alias("id"), F.sha2(normalised(quoted(text_col)), 256).alias("sha"), whole_row(docs).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha"))
+    return packed.join(gone, same, "left_anti").select("row.*")

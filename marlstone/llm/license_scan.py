@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Lines that name a copyright holder; applied to lower-case text.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)|©|all rights reserved)[^\n]*"
-#: What separates words: ASCII but letters and digits.
-BETWEEN = r"[\x00-/:-`{-\x7F]+"
+#: What separates words: ASCII but letters and digits, and the signs, punctuation and spaces of Latin-1 and beyond.
+BETWEEN = r"[\x00-/:-`{-\x7F" + "\u00A0-\u00A9\u00AB-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u2000-\u206F\u3000-\u303F]+"
 STEM = "licen"
 
 #: Spellings, and the one that stands for them.

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import SPACE_SQL, word_array, written
+from marlstone.llm.shared import SPACE_SQL, whole_row, word_array, written
 
 #: Fixed-point units in 1.0 of a transformed statistic.
 UNIT = 1024
@@ -278,6 +278,5 @@ def drop_low_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     stats, _ = written(text_statistics(docs, rules, keep=_GROUP), "quality-statistics")
     estimates = _fit(stats, rules)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    again = text_statistics(docs.select("text", *_GROUP, row), rules, keep=(*_GROUP, "__row"))
+    again = text_statistics(docs.select("text", *_GROUP, whole_row(docs).alias("__row")), rules, keep=(*_GROUP, "__row"))
     return _judged(again, estimates, rules, ["__row"]).where("kept").select("__row.*")

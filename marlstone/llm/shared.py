@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A run of white space, and the same characters as a list for trim().
@@ -108,6 +108,23 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[quoted(c) for c in df.columns])
 
 
+def few_by_hash(df: DataFrame, most: int, group: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """A bounded sample: of each group the ``most`` rows whose ids have the smallest hashes.
+
+    The groups are counted, and a threshold on the hash first leaves about twice ``most`` rows of each, so that
+    ranking them takes no more, however large a group is.
+    """
+    keys = [group] if group else []
+    hashed = df.withColumn("__hash", F.xxhash64(id_col))
+    if group:
+        joined = hashed.join(df.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")), group)
+    else:
+        joined = hashed.withColumn("__rows", F.lit(df.count()))
+    near = joined.where(F.shiftrightunsigned("__hash", 11) * F.lit(2.0**-53) * F.col("__rows") < F.lit(2.0 * most))
+    ranked = Window.partitionBy(*keys).orderBy("__hash", id_col, *[c for c in df.columns if c not in (*keys, id_col)])
+    return near.withColumn("__nth", F.row_number().over(ranked)).where(F.col("__nth") <= most).drop("__hash", "__rows", "__nth")
+
+
 def fold_of(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; remainder 0 is held out from training. Null ids are never trained on."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5))

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import word_count, written
+from marlstone.llm.shared import whole_row, word_count, written
 
 #: Hex digits of md5 that order rows and choose shards; DuckDB has the same function.
 _HEX = 15
@@ -157,22 +157,35 @@ def selected_before(at: str) -> str:
     return f"((({upto}) * words + (({at} * blocks) % words) * ({this})) div blocks)"
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, block_words: int = 64, shard_rows: int = 512, seed: int = 20) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, block_words: int = 64, shard_rows: int = 512, seed: int = 20, tries: int = 16) -> DataFrame:
     """docs(doc_id, text, source, ...) as the mix gives them: each row as often as it is taken, whole, every column as it was.
 
     The same targets, seats and quotas as mix_sources, but no text is cut: a shard's rows lie in the order of
     size and seeded hash, and row i is taken floor((i + 1) r + u) - floor(i r + u) times, where r is the shard's
-    quota by block and u a seeded offset. Neighbours are of like size, so the words taken come near the quota.
+    quota by block. Neighbours are of like size, so the words taken come near the quota whatever u is; of
+    ``tries`` offsets u, evenly spread from a seeded one on, the one that comes nearest is taken.
     Rows without words are taken like the others of their shard, and not where it has no words at all.
     """
     sized = docs.select("doc_id", "source", word_count("text").alias("size"))
     rows, _ = written(sized, "mix-sizes")
     aimed, quotas = shard_quotas(rows, weights, max_repeat, block_words, shard_rows, seed)
-    whole = docs.select("doc_id", "source", word_count("text").alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    whole = docs.select("doc_id", "source", word_count("text").alias("size"), whole_row(docs).alias("__row"))
     lying = Window.partitionBy("__nth", "__shard").orderBy("size", "__at", F.col("doc_id").asc_nulls_last())
-    dealt = _placed(whole, aimed, seed).withColumn("__at", seeded(seed, "order", "doc_id")).withColumn("__i", F.row_number().over(lying).cast("bigint"))
-    dealt = dealt.join(quotas.where("blocks > 0"), ["__nth", "__shard"])
-    dealt = dealt.withColumn("__u", F.pmod(seeded(seed, "offset", "__nth", "__shard"), F.col("blocks")))
-    copies = F.expr("(__i * quota + __u) div blocks - ((__i - 1) * quota + __u) div blocks")
-    taken = dealt.withColumn("__copies", copies.cast("int")).where("__copies > 0")
+
+    def in_order(frame: DataFrame) -> DataFrame:
+        placed = _placed(frame, aimed, seed).withColumn("__at", seeded(seed, "order", "doc_id"))
+        return placed.withColumn("__i", F.row_number().over(lying).cast("bigint"))
+
+    def copies(offset: str) -> str:
+        return f"((__i * quota + {offset}) div blocks - ((__i - 1) * quota + {offset}) div blocks)"
+
+    able = quotas.where("blocks > 0").withColumn("__u", F.pmod(seeded(seed, "offset", "__nth", "__shard"), F.col("blocks")))
+    offsets = [f"((__u + {k} * blocks div {tries}) % blocks)" for k in range(tries)]
+    sums = [F.sum(F.expr(f"size * {copies(u)}")).alias(f"__sum{k}") for k, u in enumerate(offsets)]
+    tried = in_order(rows).join(able, ["__nth", "__shard"]).groupBy("__nth", "__shard").agg(*sums)
+    off = F.array(*[F.abs(F.expr(f"__sum{k} * blocks - quota * words")) for k in range(tries)])
+    chosen = able.join(tried, ["__nth", "__shard"]).withColumn("__k", F.array_position(off, F.array_min(off)) - 1)
+    chosen = chosen.withColumn("__offset", F.expr(f"(__u + __k * blocks div {tries}) % blocks")).select("__nth", "__shard", "quota", "blocks", "__offset")
+    dealt = in_order(whole).join(written(chosen, "mix-offsets")[0], ["__nth", "__shard"])
+    taken = dealt.withColumn("__copies", F.expr(copies("__offset")).cast("int")).where("__copies > 0")
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select("__row.*")
