@@ -1,14 +1,12 @@
 """The catalog: tables with declared columns, each a list of Parquet folders, kept in a JSON file.
 
 A file list is replaced as a whole, so readers work on the list they began with. The catalog's file is written
-beside the old one and renamed.
+beside the old one and renamed. All paths are Spark's, so tables can lie in any store that executors share.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import threading
 import uuid
 from dataclasses import dataclass, field, replace
@@ -17,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.plans.ast import fields, items, text
 from marlstone.problems import DecodeError, Problem, ProblemsError
+from marlstone.storage import Storage
 from marlstone.types import ColumnDef, Kind, struct_of
 
 
@@ -51,24 +50,18 @@ class Catalog:
     def __init__(self, spark: SparkSession, path: str, table_folder: str):
         self.spark, self.path, self.table_folder = spark, path, table_folder
         self._tables: dict[str, Table] = {}
-        self._lock = threading.RLock()
-        os.makedirs(table_folder, exist_ok=True)
+        self._lock, self._storage = threading.RLock(), Storage(spark)
+        self._storage.make_folder(table_folder)
         self._load()
 
     def _load(self) -> None:
-        if not os.path.exists(self.path):
-            return
-        with open(self.path, encoding="utf-8") as file:
-            content = file.read()
+        content = self._storage.read_text(self.path) or ""
         for t in json.loads(content)["tables"] if content.strip() else []:
             self._tables[t["id"]] = Table(t["id"], t["name"], tuple(column_def(c) for c in t["columns"]), tuple(t["files"]))
 
     def save(self) -> None:
         with self._lock:
-            new = f"{self.path}.{uuid.uuid4().hex}"
-            with open(new, "w", encoding="utf-8") as file:
-                json.dump({"tables": [t.to_json() for t in self._tables.values()]}, file)
-            os.replace(new, self.path)
+            self._storage.write_text(self.path, json.dumps({"tables": [t.to_json() for t in self._tables.values()]}))
 
     def create(self, name: str, columns: list[ColumnDef]) -> str:
         """The new table's id; ProblemsError for a name that is taken or a column given twice."""
@@ -89,7 +82,10 @@ class Catalog:
             table = self._tables.pop(table_id, None)
             self.save()
         for name in table.files if table else ():
-            shutil.rmtree(os.path.join(self.table_folder, name), ignore_errors=True)
+            self._storage.remove(self._file(name))
+
+    def _file(self, name: str) -> str:
+        return f"{self.table_folder.rstrip('/')}/{name}"
 
     def all(self) -> list[Table]:
         return list(self._tables.values())
@@ -103,11 +99,11 @@ class Catalog:
     def append(self, table_id: str, rows: DataFrame) -> None:
         """Write rows as a new file of the table; it counts only once it is whole, and newest come first."""
         name = uuid.uuid4().hex
-        path = os.path.join(self.table_folder, name)
+        path = self._file(name)
         try:
             rows.write.parquet(path)
         except BaseException:
-            shutil.rmtree(path, ignore_errors=True)
+            self._storage.remove(path)
             raise
         with self._lock:
             table = self._tables[table_id]
@@ -123,4 +119,4 @@ class Catalog:
         schema = struct_of(list(found.columns))
         if not found.files or not found.columns:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[os.path.join(self.table_folder, f) for f in found.files])
+        return self.spark.read.schema(schema).parquet(*[self._file(f) for f in found.files])

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import queue
-import shutil
 import threading
 import time
 import uuid
@@ -25,6 +24,7 @@ from marlstone.operators.select import Planner
 from marlstone.plans.ast import CopyQuery, SelectQuery, boolean, definition_json, fields, integer, items, query_definition, text
 from marlstone.problems import Problem, ProblemsError, found_in
 from marlstone.sources.csv_copy import read_rows
+from marlstone.storage import Storage, joined
 from marlstone.streaming.chunks import CHUNK_BYTES, chunks
 
 INTERFACE_VERSION = "1.0.1"
@@ -76,7 +76,8 @@ class Settings:
 class Service:
     def __init__(self, spark: SparkSession, settings: Settings):
         self.spark, self.settings = spark, settings
-        os.makedirs(settings.result_folder, exist_ok=True)
+        self._storage = Storage(spark)
+        self._storage.make_folder(settings.result_folder)
         self.catalog = Catalog(spark, settings.catalog_path, settings.table_folder)
         self._tasks: dict[str, Task] = {}
         self._waiting: queue.Queue[Task | None] = queue.Queue()
@@ -162,7 +163,7 @@ class Service:
         """Drop a result and what is known of its query."""
         task = self._tasks.pop(query_id, None)
         if task and task.result:
-            shutil.rmtree(task.result, ignore_errors=True)
+            self._storage.remove(task.result)
 
     def stop(self) -> None:
         """Finish the query that runs, drop all results and save the catalog."""
@@ -192,12 +193,12 @@ class Service:
             planned.foreach(lambda row: None)  # its condition can still fail
             task.result = ""
             return
-        path = os.path.join(self.settings.result_folder, task.id)
+        path = joined(self.settings.result_folder, task.id)
         task.ordered = bool(query.order_by)
         try:
             self._numbered(planned, task.ordered).write.parquet(path)
         except BaseException:
-            shutil.rmtree(path, ignore_errors=True)
+            self._storage.remove(path)
             raise
         task.result = path
 
@@ -207,8 +208,8 @@ class Service:
         return df.withColumn(_ORDER, F.monotonically_increasing_id()) if ordered else df
 
     def _copy(self, task: Task, query: CopyQuery) -> None:
-        path = os.path.join(self.settings.data_folder, query.source_filepath)
-        if not os.path.isfile(path):
+        path = joined(self.settings.data_folder, query.source_filepath)
+        if not self._storage.is_file(path):
             raise ProblemsError(Problem("Failed to find input file", f"Couldn't find file «{query.source_filepath}» at «{path}»"))
         table = self.catalog.by_name(query.destination_table_name)
         if table is None:
