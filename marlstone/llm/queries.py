@@ -102,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.duckdb_sql(), "op4_exact_dedup": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"op2_token_mix": token_mix.duckdb_sql(), "op3_license_scan": license_scan.duckdb_sql(), "op4_exact_dedup": OP4_SQL, "op8_warc": OP8_SQL}

@@ -189,3 +189,58 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_rep
     dealt = in_order(whole).join(written(chosen, "mix-offsets")[0], ["__nth", "__shard"])
     taken = dealt.withColumn("__copies", F.expr(copies("__offset")).cast("int")).where("__copies > 0")
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select("__row.*")
+
+
+def duckdb_sql(block_words: int = 64, shard_rows: int = 512, seed: int = 20) -> str:
+    """mix_sources with weights 1, 2, 3 and at most three repeats, in DuckDB: every quotient is ranked, none is skipped."""
+
+    def hashed(what: str, *columns: str) -> str:
+        parts = " || ':' || ".join(f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in columns)
+        return f"CAST('0x' || substr(md5('{what}{seed}:' || {parts}), 1, {_HEX}) AS BIGINT)"
+
+    def before(at: str) -> str:
+        block = f"(({at} * blocks) // words)"
+        upto = f"(({block} * (quota % blocks) + u) // blocks)"
+        return f"(({upto} * words + (({at} * blocks) % words) * ((({block} + 1) * (quota % blocks) + u) // blocks - {upto})) // blocks)"
+
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source
+), w AS (
+  SELECT *, 1 + (nth - 1) % 3 AS weight, (3 * source_size) / (1 + (nth - 1) % 3) AS ratio FROM s
+), l AS (
+  SELECT *, row_number() OVER (ORDER BY ratio, nth) AS place,
+    CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+      / CAST(sum(weight) OVER (ORDER BY ratio, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w
+), t AS (
+  SELECT *, least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM l WHERE ratio >= level ORDER BY place LIMIT 1) * weight) AS target,
+    CAST(ceil(n_rows / {shard_rows}) AS BIGINT) AS n_shards FROM l
+), p AS (
+  SELECT d.*, nth, source_size, target, {hashed("shard", "doc_id")} % n_shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), h AS (
+  SELECT nth, shard, words, CASE WHEN words > 0 THEN greatest(CAST(round(words / {block_words}) AS BIGINT), 1) ELSE 0 END AS blocks
+  FROM (SELECT nth, shard, CAST(sum(size) AS BIGINT) AS words FROM p GROUP BY nth, shard)
+), v AS (
+  SELECT nth, o.blocks, CASE WHEN source_size > 0 THEN target * o.blocks / source_size ELSE 0 END AS votes
+  FROM t JOIN (SELECT nth, CAST(sum(blocks) AS BIGINT) AS blocks FROM h GROUP BY nth) o USING (nth)
+), q AS (
+  SELECT nth, (2 * k + 1) / votes AS cost FROM (SELECT nth, votes, unnest(range(0, 3 * blocks)) AS k FROM v WHERE votes > 0)
+), seat AS (
+  SELECT nth, count(*) AS seats FROM (SELECT nth, row_number() OVER (ORDER BY cost, nth) AS place FROM q)
+  WHERE place <= (SELECT round(sum(votes)) FROM v) GROUP BY nth
+), lot AS (
+  SELECT nth, shard, (2 * k + 1) / blocks AS cost FROM (SELECT nth, shard, blocks, unnest(range(0, 3 * blocks)) AS k FROM h WHERE blocks > 0)
+), won AS (
+  SELECT nth, shard, count(*) AS quota FROM (SELECT nth, shard, row_number() OVER (PARTITION BY nth ORDER BY cost, shard) AS place FROM lot) JOIN seat USING (nth)
+  WHERE place <= seats GROUP BY nth, shard
+), x AS (
+  SELECT p.*, h.words, h.blocks, coalesce(won.quota, 0) AS quota, {hashed("offset", "p.nth", "p.shard")} % greatest(h.blocks, 1) AS u,
+    CAST(sum(size) OVER (PARTITION BY p.nth, p.shard ORDER BY {hashed("order", "doc_id")}, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  FROM p JOIN h ON p.nth = h.nth AND p.shard = h.shard LEFT JOIN won ON p.nth = won.nth AND p.shard = won.shard
+)
+SELECT doc_id, source, size, source_size, target,
+  CAST(CASE WHEN words > 0 THEN size * (quota // blocks) + {before("upto")} - {before("(upto - size)")} ELSE 0 END AS BIGINT) AS taken
+FROM x
+"""
