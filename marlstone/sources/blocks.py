@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.checksum import block_order, checksum_blocks
+from marlstone.shipping import ship
 
 #: The largest block: what one read() returns at most.
 MOST_BLOCK = 2_147_479_552
@@ -47,5 +48,6 @@ def checksums(spark: SparkSession, path: str, block_size: int) -> DataFrame:
                     rows.append((path, name, f"{crc:016x}", count))
             yield pd.DataFrame(rows, columns=["path", "order", "crc64", "blocks"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, order string, crc64 string, blocks bigint")
