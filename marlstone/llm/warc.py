@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import scratch_path, written
+from marlstone.shipping import ship
 
 #: Bytes of a payload from which equal ones become revisits.
 LEAST = 1000
@@ -171,6 +172,12 @@ class Archives:
     folder: str
 
 
+def _one_by_one(archives: Archives) -> DataFrame:
+    """The archives' names, as many partitions as there are names: a name is small, but what it stands for is not."""
+    ship(archives.files.sparkSession)
+    return archives.files.select("archive").repartition(max(1, archives.files.count()))
+
+
 def judged_pages(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages as page_id, url, payload, digest (SHA-1), is_revisit and refers_to.
 
@@ -197,6 +204,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, attempt, number = _Files(folder), _attempt(), 0
@@ -236,8 +244,7 @@ def normalise_archives(archives: Archives) -> Archives:
                         count += 1
                 yield pa.RecordBatch.from_pydict({"archive": pa.array([f"{stem}.warc.gz"], pa.string()), "n_records": pa.array([count], pa.int64())})
 
-    spread = archives.files.select("archive").repartition("archive")
-    return Archives(written(spread.mapInArrow(run, "archive string, n_records bigint"), "warc-normalised")[0], folder)
+    return Archives(written(_one_by_one(archives).mapInArrow(run, "archive string, n_records bigint"), "warc-normalised")[0], folder)
 
 
 def read_archives(archives: Archives) -> DataFrame:
@@ -274,7 +281,7 @@ def read_archives(archives: Archives) -> DataFrame:
                     yield packed(rows)
 
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
-    return archives.files.select("archive").repartition("archive").mapInArrow(run, schema)
+    return _one_by_one(archives).mapInArrow(run, schema)
 
 
 def _lines(stream) -> Iterator[bytes]:
