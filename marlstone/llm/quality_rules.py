@@ -248,8 +248,9 @@ def _judged(stats: DataFrame, estimates: DataFrame, rules: Rules, keep: Sequence
     joined = with_vectors(stats, rules).join(right, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     measured = _distance(joined, p, [*keep, "base_failed", "m0"])
     distance = F.when(~F.col("base_failed") & F.col("m0").isNotNull(), F.col("d2"))
-    kept = ~F.col("base_failed") & ~F.coalesce(distance > rules.cutoff, F.lit(False))
-    return measured.select(*keep, "base_failed", distance.alias("distance2"), kept.alias("kept"))
+    # One comparison, not a conjunction: a part of it pushed below the join would compute the statistics again.
+    rank = F.when(F.col("base_failed"), F.lit(float("inf"))).when(F.col("m0").isNull(), F.lit(0.0)).otherwise(F.col("d2"))
+    return measured.select(*keep, "base_failed", distance.alias("distance2"), (rank <= rules.cutoff).alias("kept"))
 
 
 def _fit(stats: DataFrame, rules: Rules) -> DataFrame:
