@@ -1,19 +1,22 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A fingerprint has one or more 64-bit words; two fingerprints link when they differ in at most ``max_bits``.
-Texts with equal first words are one node. Each word is cut into segments. Each node lies in a table under each
-of its segments, and probes it with the small Hamming ball around each segment; distances are verified in the
-join, complete distances of longer fingerprints right after it. With one word, three segments and at most four
-bits, linked fingerprints differ by at most one bit in some segment, so the search is exact.
-
-No group is expanded into all its pairs: first every table entry is linked to the smallest fingerprint of its
-entry if that is near enough; components of these star links are merged, and the probing join returns only
-links between different ones. Components come from alternating large-star and small-star steps over written
-tables. All is distributed; nothing of the corpus reaches the driver but counts.
+Texts with equal first words are one node. Words are cut into segments: of long fingerprints all but the first
+``checks``. Each node lies in a table under each of its segments, and probes it with the small Hamming ball around
+each segment. The first words are verified in the join (of long fingerprints they have no segments, so they
+tell chance meetings apart), and complete distances right after it. With one word, three segments and at most
+four bits, linked fingerprints differ by at most one bit in some segment, so the search is exact.
+
+No group is expanded into all its pairs. Every slot of the table has a leader, its smallest fingerprint. First
+each entry is tried against its slot's leader, then each probe against the leader it meets: at most one row for
+each entry or probe. Components of these star links are merged, and the last join, of probes and all entries,
+returns only links between different ones. Components come from alternating large-star and small-star steps
+over written tables. All is distributed; nothing of the corpus reaches the driver but counts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -24,31 +27,41 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import remove, written
+from marlstone.llm.shared import quoted, remove, whole_row, written
+from marlstone.shipping import ship
 
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 13
+#: Each byte of white space as a space.
+_SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 #: Distinct fingerprints up to which a word has three segments, and two beyond: longer keys, more probes.
 THREE_SEGMENTS = 1 << 26
 
 
 @dataclass(frozen=True)
 class SimHash:
-    """What a fingerprint is, and when two of them link."""
+    """What a fingerprint is, and when two of them link: within the bits in all and in the first word, and with a
+    segment within the radius (which one word within ``max_bits`` always has, unless a radius is set)."""
 
     shingle: int = 4
     words: int = 1
     max_bits: int = 4
-    #: Bits that may differ in the first word, and in a segment; None: as many as max_bits can force.
+    #: Words that are verified in the join, and have no segments where there are more of them.
+    checks: int = 1
+    #: Bits that may differ in those words, and in a segment; None: as many as max_bits can force.
     first_bits: int | None = None
     radius: int | None = None
     segments: int | None = None  # of each word; None: by the number of fingerprints
     seed: int = 42
 
+    @property
+    def most_first_bits(self) -> int:
+        return self.max_bits if self.first_bits is None else self.first_bits
+
 
 #: Five-word shingles and a similarity of 0.8 or more: multisets of shingles with a Jaccard similarity of 0.8
-#: have a cosine of about 0.89 and so differ in about 15 of 100 bits; 56 of 320 leave room for the estimate's error.
-NEAR_COPIES = SimHash(shingle=5, words=5, max_bits=56, first_bits=24, radius=1, segments=3)
+#: have a cosine of about 0.89 and so differ in about 15 of 100 bits; 78 of 448 leave room for the estimate's error.
+NEAR_COPIES = SimHash(shingle=5, words=7, checks=2, max_bits=78, first_bits=28, radius=1, segments=3)
 
 
 def _further(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -66,18 +79,20 @@ def fingerprint(text: str | None, rule: SimHash = SimHash()) -> np.ndarray:
 
     A-Z become lower case; words are runs without ASCII white space; a text of fewer words is one shingle.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    joined = (text or "").encode("utf-8", "surrogatepass").lower().translate(_SPACES)
+    if b"  " in joined:
+        joined = re.sub(b" +", b" ", joined)
+    joined = joined.strip(b" ")
+    if not joined:
         return np.zeros(rule.words, dtype=np.uint64)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    ends = ends[min(rule.shingle, len(words)) - 1 :].tolist()
+    gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+    width = min(rule.shingle, len(gaps) + 1)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])[width - 1 :]
     digest, seed, n = xxhash.xxh64_intdigest, rule.seed, len(ends)
     ones = np.zeros(64 * rule.words, dtype=np.int64)
     for at in range(0, n, BLOCK):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], dtype="<u8")
+        cuts = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist())
+        hashes = np.array([digest(joined[a:b], seed) for a, b in cuts], dtype="<u8")
         wide = np.column_stack([_further(hashes, k) for k in range(rule.words)])
         ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")
@@ -94,6 +109,7 @@ def fingerprints(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "doc_
                 out[:, i] = fingerprint(text.as_py(), rule)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(w.view(np.int64)) for w in out]], names=["doc_id", *_words(rule)])
 
+    ship(docs.sparkSession)
     return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *[f"{w} bigint" for w in _words(rule)]]))
 
 
@@ -114,7 +130,8 @@ class _Segment:
 
 def _segments(rule: SimHash, per_word: int) -> list[_Segment]:
     widths = [64 // per_word + (i < 64 % per_word) for i in range(per_word)]
-    return [_Segment(k * per_word + i, w, sum(widths[:i]), widths[i]) for k, w in enumerate(_words(rule)) for i in range(per_word)]
+    cut = _words(rule)[rule.checks :] or _words(rule)
+    return [_Segment(k * per_word + i, w, sum(widths[:i]), widths[i]) for k, w in enumerate(cut) for i in range(per_word)]
 
 
 def _entries(nodes: DataFrame, cut: list[_Segment]) -> DataFrame:
@@ -143,29 +160,38 @@ def _link(a: str, b: str) -> list[Column]:
 
 
 def star_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment]) -> DataFrame:
-    """Links (a, b), a > b, of nodes to the smallest node in one of their slots."""
+    """Links (a, b), a > b, of nodes to the leaders of their slots."""
     words = _words(rule)
     entries = _entries(nodes, cut)
     leaders = entries.groupBy("slot").agg(F.min(F.struct(*words)).alias("leader"))
-    near = _distance([F.col(w) for w in words], [F.col(f"leader.{w}") for w in words]) <= rule.max_bits
+    near = _near(rule, "", "leader.")
     pairs = entries.join(leaders, "slot").where((F.col("f0") != F.col("leader.f0")) & near)
     return pairs.select("f0", F.col("leader.f0").alias("__l")).select(*_link("f0", "__l")).distinct()
 
 
-def probe_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment], radius: int) -> DataFrame:
+def probe_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment], radius: int, leaders_only: bool) -> DataFrame:
     """Links (a, b) of nodes(f..., part) between different parts, verified by complete distance."""
-    first = rule.first_bits if rule.first_bits is not None else rule.max_bits
-    left = _probes(nodes, cut, radius).select(F.col("f0").alias("a"), F.col("part").alias("pa"), "slot")
-    right = _entries(nodes, cut).select(F.col("f0").alias("b"), F.col("part").alias("pb"), F.col("slot").alias("__slot"))
-    same = (F.col("slot") == F.col("__slot")) & (F.col("pa") != F.col("pb")) & (_distance([F.col("a")], [F.col("b")]) <= first)
-    pairs = left.join(right, same).select(*_link("a", "b")).distinct()
-    if rule.words == 1:
+    words, checks = _words(rule), _words(rule)[: rule.checks]
+    left = _probes(nodes, cut, radius).select(*[F.col(w).alias(f"a_{w}") for w in checks], F.col("part").alias("pa"), "slot")
+    right = _entries(nodes, cut).select(*[F.col(w).alias(f"b_{w}") for w in checks], F.col("part").alias("pb"), F.col("slot").alias("__slot"))
+    if leaders_only:
+        right = right.groupBy("__slot").agg(F.min(F.struct(*[f"b_{w}" for w in checks], "pb")).alias("l")).select("__slot", "l.*")
+    first = _distance([F.col(f"a_{w}") for w in checks], [F.col(f"b_{w}") for w in checks]) <= rule.most_first_bits
+    same = (F.col("slot") == F.col("__slot")) & (F.col("pa") != F.col("pb")) & first
+    pairs = left.join(right, same).select(*_link("a_f0", "b_f0")).distinct()
+    if rule.words == rule.checks:
         return pairs
-    words = _words(rule)
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("f0").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in words]), side)
-    near = _distance([F.col(f"a_{w}") for w in words], [F.col(f"b_{w}") for w in words]) <= rule.max_bits
-    return pairs.where(near).select("a", "b")
+    return pairs.where(_near(rule, "a_", "b_")).select("a", "b")
+
+
+def _near(rule: SimHash, left: str, right: str) -> Column:
+    """Whether two fingerprints, in columns with these prefixes, are within the bits."""
+    pairs = [([F.col(f"{left}{w}")], [F.col(f"{right}{w}")]) for w in _words(rule)]
+    all_bits = sum((_distance(a, b) for a, b in pairs), F.lit(0))
+    first = sum((_distance(a, b) for a, b in pairs[: rule.checks]), F.lit(0))
+    return (all_bits <= rule.max_bits) & (first <= rule.most_first_bits)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,19 +241,27 @@ def simhash_groups(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "do
     radius = rule.radius if rule.radius is not None else rule.max_bits // len(cut)
     stars = components(star_links(nodes.select(*words), rule, cut))
     parts, _ = written(_rooted(nodes, "f0", stars, "part"), "simhash-parts")
-    crossing = probe_links(parts.select(*words, "part"), rule, cut, radius)
-    bridges = crossing.join(parts.select(F.col("f0").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("f0").alias("b"), F.col("part").alias("pb")), "b")
-    whole = _rooted(parts.select("f0", "part", "first"), "part", components(bridges.select(*_link("pa", "pb"))), "root")
-    ids = whole.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed, _ = written(whole.join(ids, "root").select("f0", "component_id"), "simhash-components")
+    for leaders_only in (True, False):
+        parts = _merged(parts, probe_links(parts.select(*words, "part"), rule, cut, radius, leaders_only))
+    ids, _ = written(parts.groupBy("part").agg(F.min("first").alias("component_id")), "simhash-ids")
+    placed, _ = written(parts.select("f0", "part").join(ids, "part").select("f0", "component_id"), "simhash-components")
     return rows.join(placed, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts(f0, part, ...) with the parts of linked nodes made one."""
+    of = parts.select("f0", "part")
+    bridges = links.join(of.toDF("a", "pa"), "a").join(of.toDF("b", "pb"), "b").select(*_link("pa", "pb"))
+    roots = components(bridges)
+    return written(_rooted(parts, "part", roots, "root").drop("part").withColumnRenamed("root", "part"), "simhash-parts")[0]
+
+
 def drop_near_copies(docs: DataFrame, rule: SimHash = NEAR_COPIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are not the smallest id of their component; every column as it was.
 
     Rows that repeat the smallest id stay together; rows without an id always stay, as no component names them.
     """
     groups = simhash_groups(docs, rule, id_col, text_col)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    packed = docs.select(quoted(id_col).alias("id"), whole_row(docs).alias("row"))
+    return packed.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
