@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.shipping import ship
+
 #: The rank file of production, and the largest that is broadcast.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 MOST_RANK_BYTES = 64 << 20
@@ -114,6 +116,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
+    ship(spark)
     return rows.mapInArrow(run, f"doc_id {kind}, " + "ids array<int>, " * with_ids + "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
@@ -129,4 +132,5 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
             content = [b"".join(decode(enc, np.asarray(ids.as_py() or [], dtype="<u4"))) for ids in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "content": pa.array(content, pa.binary())})
 
+    ship(spark)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, content binary")
