@@ -14,14 +14,14 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.plans.ast import fields, items, text
-from marlstone.problems import DecodeError, Problem, ProblemsError
+from marlstone.problems import DecodeError, Errors, Problem, ProblemsError
 from marlstone.storage import Storage
 from marlstone.types import ColumnDef, Kind, struct_of
 
 
 def stored_kind(json: object) -> Kind:
     if json not in (Kind.INT64.value, Kind.VARCHAR.value):
-        raise DecodeError(f"Expected INT64 or VARCHAR but got {json!r}")
+        raise DecodeError(f"columns are INT64 or VARCHAR, not {json!r}")
     return Kind(json)
 
 
@@ -67,10 +67,10 @@ class Catalog:
         """The new table's id; ProblemsError for a name that is taken or a column given twice."""
         with self._lock:
             if (other := self.by_name(name)) is not None:
-                raise ProblemsError(Problem("Error validating schema", f"Table {name} already exists under id={other.id}"))
+                raise ProblemsError(Problem(Errors.SCHEMA, f"{name} is the name of table {other.id}"))
             names = [n for n, _ in columns]
             if twice := next((n for i, n in enumerate(names) if n in names[:i]), None):
-                raise ProblemsError(Problem("Error validating schema", f"Duplicate column {twice}"))
+                raise ProblemsError(Problem(Errors.SCHEMA, f"column {twice} is given twice"))
             table = Table(str(uuid.uuid4()), name, tuple(columns))
             self._tables[table.id] = table
             self.save()

@@ -75,7 +75,7 @@ class _Handler(BaseHTTPRequestHandler):
 
     def get_table(self, table_id: str) -> None:
         table = self.service.catalog.by_id(table_id)
-        self._send(table.schema_json()) if table else self._missing(f"Table {table_id} not found")
+        self._send(table.schema_json()) if table else self._missing(f"no table {table_id}")
 
     def drop_table(self, table_id: str) -> None:
         self.service.catalog.drop(table_id)
@@ -86,18 +86,18 @@ class _Handler(BaseHTTPRequestHandler):
 
     def get_query(self, query_id: str) -> None:
         found = self.service.describe_query(query_id)
-        self._send(found) if found else self._missing(f"Query with id={query_id} not found")
+        self._send(found) if found else self._missing(f"no query {query_id}")
 
     def list_queries(self) -> None:
         self._send(self.service.list_queries())
 
     def get_result(self, query_id: str) -> None:
         parts = self.service.result(query_id, self._body())
-        self._stream(parts) if parts is not None else self._missing(f"Result with id={query_id} not found")
+        self._stream(parts) if parts is not None else self._missing(f"no result of query {query_id}")
 
     def get_error(self, query_id: str) -> None:
         problems = self.service.problems(query_id)
-        self._problems(problems, 200) if problems is not None else self._missing(f"Failed to find error of query with id={query_id}")
+        self._problems(problems, 200) if problems is not None else self._missing(f"no error of query {query_id}")
 
     def system_info(self) -> None:
         self._send(self.service.system_info())

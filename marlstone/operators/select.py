@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.plans.analyze import Analyzer, analyze
 from marlstone.plans.ast import SelectQuery
 from marlstone.plans.compile import Compiler, wrapping_integers
-from marlstone.problems import Problem, ProblemsError
+from marlstone.problems import Errors, Problem, ProblemsError
 from marlstone.types import STORED, Kind
 
 
@@ -26,7 +26,7 @@ class Planner:
         """
         found = analyze(query, self.tables)
         if Kind.BOOL in (kinds := found.kinds):
-            raise ProblemsError(Problem("Unexpected error: a column of type BOOL can't be stored", f"c{kinds.index(Kind.BOOL)}"))
+            raise ProblemsError(Problem(f"{Errors.UNEXPECTED}: a column of type BOOL can't be stored", f"c{kinds.index(Kind.BOOL)}"))
         with wrapping_integers(self.spark):
             compiler = Compiler(Analyzer(self.tables).kind_of, self.strict)
             rows = self.tables.scan(found.table) if found.table is not None else self.spark.range(1).select()

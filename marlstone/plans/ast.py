@@ -80,36 +80,36 @@ class CopyQuery:
 def fields(json: Any, required: Mapping[str, Callable], optional: Mapping[str, Callable] = {}) -> dict:
     """The decoded fields of an object that has all required ones and none but the optional ones besides."""
     if not isinstance(json, dict):
-        raise DecodeError(f"Expected an object but got {json!r}")
+        raise DecodeError(f"an object is wanted, not {json!r}")
     if missing := [k for k in required if k not in json]:
-        raise DecodeError(f"Missing fields: {', '.join(missing)}")
+        raise DecodeError(f"fields are missing: {', '.join(missing)}")
     if extra := [k for k in json if k not in required and k not in optional]:
-        raise DecodeError(f"Unknown fields: {', '.join(extra)}")
+        raise DecodeError(f"fields are unknown: {', '.join(extra)}")
     return {k: (required.get(k) or optional[k])(v) for k, v in json.items()}
 
 
 def text(json: Any) -> str:
     if not isinstance(json, str):
-        raise DecodeError(f"Expected a string but got {json!r}")
+        raise DecodeError(f"a string is wanted, not {json!r}")
     return json
 
 
 def boolean(json: Any) -> bool:
     if not isinstance(json, bool):
-        raise DecodeError(f"Expected a boolean but got {json!r}")
+        raise DecodeError(f"a boolean is wanted, not {json!r}")
     return json
 
 
 def integer(json: Any) -> int:
     if isinstance(json, bool) or not isinstance(json, int) or not INT64_MIN <= json <= INT64_MAX:
-        raise DecodeError(f"Expected a 64-bit integer but got {json!r}")
+        raise DecodeError(f"a 64-bit integer is wanted, not {json!r}")
     return json
 
 
 def items(decode: Callable) -> Callable[[Any], tuple]:
     def all_of(json: Any) -> tuple:
         if not isinstance(json, list):
-            raise DecodeError(f"Expected an array but got {json!r}")
+            raise DecodeError(f"an array is wanted, not {json!r}")
         return tuple(decode(x) for x in json)
 
     return all_of
@@ -118,7 +118,7 @@ def items(decode: Callable) -> Callable[[Any], tuple]:
 def _one_of(names: tuple[str, ...], what: str) -> Callable[[Any], str]:
     def named(json: Any) -> str:
         if json not in names or not isinstance(json, str):
-            raise DecodeError(f"Invalid {what} «{json}»")
+            raise DecodeError(f"{json!r} is no {what}")
         return json
 
     return named
@@ -131,7 +131,7 @@ def expression(json: Any) -> Expression:
     if isinstance(json, int):
         return Literal(integer(json))
     if not isinstance(json, dict):
-        raise DecodeError(f"Expected a (string|int|bool) but got «{json}»")
+        raise DecodeError(f"a literal is a string, an integer or a boolean, not {json!r}")
     if "functionName" in json and "arguments" in json:
         return Function(_one_of(FUNCTIONS, "function name")(json["functionName"]), items(expression)(json["arguments"]))
     if "operator" in json and "leftOperand" in json and "rightOperand" in json and json["operator"] in BINARY:
@@ -139,7 +139,7 @@ def expression(json: Any) -> Expression:
     if "operator" in json and "operand" in json:
         return Unary(_one_of(UNARY, "unary operator")(json["operator"]), expression(json["operand"]))
     if "operator" in json:
-        raise DecodeError(f"Invalid operator «{json['operator']}» or operands")
+        raise DecodeError(f"{json['operator']!r} is no operator, or lacks operands")
     found = fields(json, {"tableName": text, "columnName": text})
     return ColumnRef(found["tableName"], found["columnName"])
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import SCALAR
 from marlstone.plans.ast import ORDERING, Binary, ColumnRef, Expression, Function, Literal, Unary
-from marlstone.problems import MARK, Problem
+from marlstone.problems import MARK, Errors, Problem
 from marlstone.types import Kind
 
 ANSI = "spark.sql.ansi.enabled"
@@ -48,7 +48,7 @@ def _fail_with(problem: Problem) -> Column:
 
 def _division_by_zero(left: Column, right: Column) -> Column:
     context = F.concat(left.cast("string"), F.lit(" / "), right.cast("string"))
-    return _fail(F.concat(F.lit('{"error": "Division by zero", "context": "'), context, F.lit('"}')))
+    return _fail(F.concat(F.lit(f'{{"error": "{Errors.DIVISION}", "context": "'), context, F.lit('"}')))
 
 
 _OPERATORS = {
@@ -104,7 +104,7 @@ class Compiler:
                     a, b = self.value(left), self.value(right)
                     out.append(F.when(b == 0, _division_by_zero(a, b).cast("boolean")).otherwise(F.lit(True)))
                 elif operator in ORDERING and self.strict and self.kind_of(left) is not Kind.INT64:
-                    out.append(_fail_with(Problem("Unimplemented", f"{operator} of {self.kind_of(left).value}")).cast("boolean"))
+                    out.append(_fail_with(Problem(Errors.UNIMPLEMENTED, f"{operator} of {self.kind_of(left).value}")).cast("boolean"))
                 return out
         return []
 

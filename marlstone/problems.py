@@ -10,6 +10,29 @@ from dataclasses import dataclass
 MARK = "marlstone-problem:"
 
 
+class Errors:
+    """What ``error`` says, by kind of problem."""
+
+    ARGUMENTS = "Invalid arguments"
+    ARGUMENT_COUNT = "Invalid number of arguments"
+    TYPES = "Types don't match"
+    TABLE = "Table not found"
+    COLUMN = "Column not found"
+    TABLES = "Multiple tables"
+    WHERE = "Invalid where clause type"
+    ORDER_BY = "Invalid order by clause"
+    LIMIT = "Invalid limit clause"
+    DIVISION = "Division by zero"
+    UNIMPLEMENTED = "Unimplemented"
+    INPUT_FILE = "Failed to find input file"
+    DESTINATION_TABLE = "Undefined table name"
+    DESTINATION_COLUMN = "Destination column error"
+    INT64 = "Failed to parse INT64"
+    CSV = "Invalid CSV file"
+    SCHEMA = "Error validating schema"
+    UNEXPECTED = "Unexpected error"
+
+
 @dataclass(frozen=True)
 class Problem:
     error: str
@@ -43,4 +66,4 @@ def found_in(error: BaseException) -> list[Problem]:
         except ValueError:
             pass
     name = type(error).__name__
-    return [Problem(f"Unexpected error {name}: {re.sub(r'\s+', ' ', text)[:300]}")]
+    return [Problem(f"{Errors.UNEXPECTED} {name}: {re.sub(r'\s+', ' ', text)[:300]}")]

@@ -22,7 +22,7 @@ from marlstone import __version__
 from marlstone.catalog import Catalog, column_def
 from marlstone.operators.select import Planner
 from marlstone.plans.ast import CopyQuery, SelectQuery, boolean, definition_json, fields, integer, items, query_definition, text
-from marlstone.problems import Problem, ProblemsError, found_in
+from marlstone.problems import Errors, Problem, ProblemsError, found_in
 from marlstone.sources.csv_copy import read_rows
 from marlstone.storage import Storage, joined
 from marlstone.streaming.chunks import CHUNK_BYTES, chunks
@@ -210,10 +210,10 @@ class Service:
     def _copy(self, task: Task, query: CopyQuery) -> None:
         path = joined(self.settings.data_folder, query.source_filepath)
         if not self._storage.is_file(path):
-            raise ProblemsError(Problem("Failed to find input file", f"Couldn't find file «{query.source_filepath}» at «{path}»"))
+            raise ProblemsError(Problem(Errors.INPUT_FILE, f"{query.source_filepath}, as {path}"))
         table = self.catalog.by_name(query.destination_table_name)
         if table is None:
-            raise ProblemsError(Problem("Undefined table name", f"Couldn't find table «{query.destination_table_name}»"))
+            raise ProblemsError(Problem(Errors.DESTINATION_TABLE, query.destination_table_name))
         task.status = Status.RUNNING
         rows = read_rows(self.spark, path, table.columns, query.has_header, query.destination_columns, self.settings.copy_scatter)
         self.catalog.append(table.id, rows)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.plans.compile import _fail, _fail_with, wrapping_integers
-from marlstone.problems import Problem, ProblemsError
+from marlstone.problems import Errors, Problem, ProblemsError
 from marlstone.types import ColumnDef, Kind
 
 BAD = "__bad_record"
@@ -31,13 +31,13 @@ def mapping(columns: Sequence[ColumnDef], destinations: Sequence[str] | None, sc
     names = [n for n, _ in columns]
     if destinations is None:
         return list(range(len(names)))
-    error = "Destination column error"
+    error = Errors.DESTINATION_COLUMN
     if len(destinations) != len(names):
-        raise ProblemsError(Problem(error, "Invalid number of destination columns"))
+        raise ProblemsError(Problem(error, f"{len(destinations)} for {len(names)} columns"))
     if twice := next((n for i, n in enumerate(destinations) if n in destinations[:i]), None):
-        raise ProblemsError(Problem(error, f"Duplicate destination column {twice}"))
+        raise ProblemsError(Problem(error, f"{twice} is given twice"))
     if unknown := next((n for n in destinations if n not in names), None):
-        raise ProblemsError(Problem(error, f"Invalid destination column {unknown}"))
+        raise ProblemsError(Problem(error, f"{unknown} is not a column"))
     places = [names.index(n) for n in destinations]
     return [places.index(i) for i in range(len(names))] if scatter else places
 
@@ -57,7 +57,7 @@ def parse_int64(value: Column) -> Column:
         wrapped = F.when(number >= F.lit(Decimal(2**63)), number - F.lit(Decimal(2**64))).otherwise(number).cast("bigint")
         most = {16: 16, 8: 22, 2: 64}[base]
         out = F.coalesce(out, F.when(fits & (F.length(body) <= most), sign * wrapped))
-    told = F.concat(F.lit('{"error": "Failed to parse INT64", "context": '), F.to_json(F.array(F.concat(F.lit("Failed to parse value «"), value, F.lit("»")))), F.lit("}"))
+    told = F.concat(F.lit(f'{{"error": "{Errors.INT64}", "context": '), F.to_json(F.array(value)), F.lit("}"))
     # to_json quotes the text; its brackets go.
     told = F.regexp_replace(F.regexp_replace(told, '"context": \\[', '"context": '), "\\]\\}$", "}")
     return F.coalesce(out, _fail(told).cast("bigint"))
@@ -82,7 +82,7 @@ def read_rows(spark: SparkSession, path: str, columns: Sequence[ColumnDef], has_
         if destinations is not None:
             bare = F.regexp_replace(F.col(BAD), '"(?:[^"]|"")*"', "")
             bad = bad & (F.size(F.split(bare, ",")) < width)
-        problem = _fail_with(Problem("Invalid CSV file", f"Expected row to be of length {width}")).cast("string")
+        problem = _fail_with(Problem(Errors.CSV, f"a record has other than {width} fields")).cast("string")
         out = []
         for (name, kind), at in zip(columns, places):
             text = F.when(bad, problem).otherwise(F.coalesce(F.col(f"f{at}"), F.lit("")))
