@@ -8,10 +8,10 @@ tell chance meetings apart), and complete distances right after it. With one wor
 four bits, linked fingerprints differ by at most one bit in some segment, so the search is exact.
 
 No group is expanded into all its pairs. Every slot of the table has a leader, its smallest fingerprint. First
-each entry is tried against its slot's leader, then each probe against the leader it meets: at most one row for
-each entry or probe. Components of these star links are merged, and the last join, of probes and all entries,
-returns only links between different ones. Components come from alternating large-star and small-star steps
-over written tables. All is distributed; nothing of the corpus reaches the driver but counts.
+each probe is tried against the leader it meets: at most one row for each. The components of these links are
+merged, and a second join, of probes and all entries, returns only links between different ones. Components
+come from alternating large-star and small-star steps over written tables. All is distributed; nothing of the
+corpus reaches the driver but counts.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ class SimHash:
     checks: int = 1
     #: Bits that may differ in those words, and in a segment; None: as many as max_bits can force.
     first_bits: int | None = None
+    #: The same for leaders, which need only find some links, so fewer bits may spare most chance meetings.
+    leader_bits: int | None = None
     radius: int | None = None
     segments: int | None = None  # of each word; None: by the number of fingerprints
     seed: int = 42
@@ -61,7 +63,7 @@ class SimHash:
 
 #: Five-word shingles and a similarity of 0.8 or more: multisets of shingles with a Jaccard similarity of 0.8
 #: have a cosine of about 0.89 and so differ in about 15 of 100 bits; 78 of 448 leave room for the estimate's error.
-NEAR_COPIES = SimHash(shingle=5, words=7, checks=2, max_bits=78, first_bits=28, radius=1, segments=3)
+NEAR_COPIES = SimHash(shingle=5, words=7, checks=2, max_bits=78, first_bits=26, leader_bits=23, radius=1, segments=3)
 
 
 def _further(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -159,16 +161,6 @@ def _link(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def star_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment]) -> DataFrame:
-    """Links (a, b), a > b, of nodes to the leaders of their slots."""
-    words = _words(rule)
-    entries = _entries(nodes, cut)
-    leaders = entries.groupBy("slot").agg(F.min(F.struct(*words)).alias("leader"))
-    near = _near(rule, "", "leader.")
-    pairs = entries.join(leaders, "slot").where((F.col("f0") != F.col("leader.f0")) & near)
-    return pairs.select("f0", F.col("leader.f0").alias("__l")).select(*_link("f0", "__l")).distinct()
-
-
 def probe_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment], radius: int, leaders_only: bool) -> DataFrame:
     """Links (a, b) of nodes(f..., part) between different parts, verified by complete distance."""
     words, checks = _words(rule), _words(rule)[: rule.checks]
@@ -176,7 +168,8 @@ def probe_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment], radius: in
     right = _entries(nodes, cut).select(*[F.col(w).alias(f"b_{w}") for w in checks], F.col("part").alias("pb"), F.col("slot").alias("__slot"))
     if leaders_only:
         right = right.groupBy("__slot").agg(F.min(F.struct(*[f"b_{w}" for w in checks], "pb")).alias("l")).select("__slot", "l.*")
-    first = _distance([F.col(f"a_{w}") for w in checks], [F.col(f"b_{w}") for w in checks]) <= rule.most_first_bits
+    most = rule.leader_bits if leaders_only and rule.leader_bits is not None else rule.most_first_bits
+    first = _distance([F.col(f"a_{w}") for w in checks], [F.col(f"b_{w}") for w in checks]) <= most
     same = (F.col("slot") == F.col("__slot")) & (F.col("pa") != F.col("pb")) & first
     pairs = left.join(right, same).select(*_link("a_f0", "b_f0")).distinct()
     if rule.words == rule.checks:
@@ -239,8 +232,7 @@ def simhash_groups(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "do
     per_word = rule.segments or (3 if nodes.count() <= THREE_SEGMENTS else 2)
     cut = _segments(rule, per_word)
     radius = rule.radius if rule.radius is not None else rule.max_bits // len(cut)
-    stars = components(star_links(nodes.select(*words), rule, cut))
-    parts, _ = written(_rooted(nodes, "f0", stars, "part"), "simhash-parts")
+    parts = nodes.withColumn("part", F.col("f0"))
     for leaders_only in (True, False):
         parts = _merged(parts, probe_links(parts.select(*words, "part"), rule, cut, radius, leaders_only))
     ids, _ = written(parts.groupBy("part").agg(F.min("first").alias("component_id")), "simhash-ids")
