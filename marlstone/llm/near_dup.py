@@ -62,8 +62,8 @@ class SimHash:
 
 
 #: Five-word shingles and a similarity of 0.8 or more: multisets of shingles with a Jaccard similarity of 0.8
-#: have a cosine of about 0.89 and so differ in about 15 of 100 bits; 78 of 448 leave room for the estimate's error.
-NEAR_COPIES = SimHash(shingle=5, words=7, checks=2, max_bits=78, first_bits=26, leader_bits=23, radius=1, segments=3)
+#: have a cosine of about 0.89 and so differ in about 15 of 100 bits; 89 of 512 leave room for the estimate's error.
+NEAR_COPIES = SimHash(shingle=5, words=8, checks=3, max_bits=89, first_bits=38, leader_bits=34, radius=1, segments=3)
 
 
 def _further(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -172,11 +172,14 @@ def probe_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment], radius: in
     first = _distance([F.col(f"a_{w}") for w in checks], [F.col(f"b_{w}") for w in checks]) <= most
     same = (F.col("slot") == F.col("__slot")) & (F.col("pa") != F.col("pb")) & first
     pairs = left.join(right, same).select(*_link("a_f0", "b_f0")).distinct()
-    if rule.words == rule.checks:
+    if rule.words > rule.checks:
+        for side in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("f0").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in words]), side)
+        pairs = pairs.where(_near(rule, "a_", "b_")).select("a", "b")
+    if not leaders_only:
         return pairs
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("f0").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in words]), side)
-    return pairs.where(_near(rule, "a_", "b_")).select("a", "b")
+    # Of a node's leaders two are enough to merge what the other join need not compare.
+    return pairs.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b"))
 
 
 def _near(rule: SimHash, left: str, right: str) -> Column:
