@@ -16,11 +16,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.grams import Grams, byte_classes, per_text
-from marlstone.llm.shared import held_out, lowered
+from marlstone.llm.shared import few_by_hash, held_out, lowered
+from marlstone.shipping import ship
 
 #: Unicode ranges of scripts, as (first code point, last, script).
 SCRIPT_RANGES = (
@@ -70,7 +71,7 @@ UNDETERMINED = "und"
 class Settings:
     """Production parameters."""
 
-    #: The training sample: at most so many documents of a language and in all, and code points of each.
+    #: The training sample: at most so many documents of a language, in all (of fewer languages than that), and code points of each.
     per_language: int = 1000
     most_documents: int = 12000
     most_chars: int = 20000
@@ -199,9 +200,9 @@ def judge(words: np.ndarray, path: np.ndarray, model: Model) -> tuple[str, float
 def training_rows(docs: DataFrame, settings: Settings) -> tuple[list[bytes], list[str]]:
     """The bounded sample: documents outside the held-out fold with a language, by a hash of their id."""
     named = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_hash = [F.xxhash64("doc_id").asc(), F.col("doc_id").asc()]
-    few = named.select("doc_id", "lang").withColumn("__nth", F.row_number().over(Window.partitionBy("lang").orderBy(*by_hash)))
-    few = few.where(F.col("__nth") <= settings.per_language).orderBy("__nth", "lang", "doc_id").limit(settings.most_documents).select("doc_id", "lang").distinct()
+    languages = named.select("lang").distinct().count()
+    each = max(1, min(settings.per_language, settings.most_documents // max(1, languages)))
+    few = few_by_hash(named.select("doc_id", "lang"), each, "lang").distinct()
     # At most most_documents ids: a proven bound.
     found = named.select("doc_id", "lang", F.substring("text", 1, settings.most_chars).alias("text")).join(F.broadcast(few), ["doc_id", "lang"])
     rows = found.orderBy("doc_id", "lang", "text").limit(settings.most_documents).toArrow()
@@ -239,4 +240,5 @@ def identify_languages(docs: DataFrame, settings: Settings = Settings(), id_col:
 
     rows = named.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    ship(docs.sparkSession)
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double" + ", spans array<struct<lang:string,first:int,end:int>>" * with_spans)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import held_out, word_array
+from marlstone.llm.shared import few_by_hash, held_out, word_array
 
 #: Statistics by name, as SQL over the counts of text_counts.
 STATISTICS: dict[str, str] = {
@@ -202,7 +202,7 @@ def predicted(model: Model, x: np.ndarray) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The bounded sample: labelled documents outside the held-out fold, by a hash of their id; labels of one id are averaged."""
     marked = labels.where(~held_out("doc_id") & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.most_rows)
+    few = few_by_hash(marked, settings.most_rows)
     # At most most_rows ids: a proven bound.
     wanted = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     stats = text_statistics(wanted, ["doc_id", "y"]).groupBy("doc_id").agg(F.min(F.struct("y", *STATISTICS)).alias("s"))

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.grams import Grams, byte_classes, per_text
-from marlstone.llm.shared import held_out, lowered
+from marlstone.llm.shared import few_by_hash, held_out, lowered
+from marlstone.shipping import ship
 
 _CLASSES = byte_classes(digits=True)
 
@@ -160,10 +161,8 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[bytes], list[int]]:
     """The bounded sample: labelled documents outside the held-out fold, by a hash of their id; labels of one id are averaged."""
     marked = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    few = [marked.where(F.col("y") == y).orderBy(*by_hash).limit(settings.per_label) for y in (0, 1)]
     # At most twice per_label ids: a proven bound.
-    wanted = F.broadcast(few[0].unionByName(few[1]))
+    wanted = F.broadcast(few_by_hash(marked, settings.per_label, "y"))
     found = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, settings.most_chars).alias("text")).join(wanted, "doc_id")
     rows = found.orderBy("doc_id", "text").limit(2 * settings.per_label).toArrow()
     return lowered(rows["text"].combine_chunks()), rows["y"].to_pylist()
@@ -186,4 +185,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(scores, pa.float64()), "predicted": pa.array((scores >= 0.5).astype(np.int32))})
 
     rows = named.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    ship(docs.sparkSession)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
