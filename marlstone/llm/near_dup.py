@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""Near-duplicates: SimHash by multi-index hashing, and exact similarity of shingle sets.
 
 A fingerprint has one or more 64-bit words; two fingerprints link when they differ in at most ``max_bits``.
 Texts with equal first words are one node. Words are cut into segments: of long fingerprints all but the first
@@ -12,6 +12,11 @@ each probe is tried against the leader it meets: at most one row for each. The c
 merged, and a second join, of probes and all entries, returns only links between different ones. Components
 come from alternating large-star and small-star steps over written tables. All is distributed; nothing of the
 corpus reaches the driver but counts.
+
+The pipeline links texts by the Jaccard similarity of their sets of shingles. Candidates are texts that share a
+band of minima of random functions of the shingles; each is verified by the two whole sets, and no estimate is the
+last word. Here a slot is a band, and its leader the node whose bands are the fullest, as the original of many
+copies is. Texts with equal sets are one node.
 """
 
 from __future__ import annotations
@@ -61,8 +66,26 @@ class SimHash:
         return self.max_bits if self.first_bits is None else self.first_bits
 
 
-#: Five-word shingles and a similarity of 0.8 or more: multisets of shingles with a Jaccard similarity of 0.8
-#: have a cosine of about 0.89 and so differ in about 15 of 100 bits; 89 of 512 leave room for the estimate's error.
+@dataclass(frozen=True)
+class Similar:
+    """Two sets of shingles link when at least ``share`` (a numerator and a denominator) of their union is in both.
+
+    A pair of similarity J shares one of the bands but with probability (1 - J ** rows) ** bands: 5 in a million at
+    0.8, less above. One bit of each of 128 minima is verified in the join; a pair of 0.8 passes but for 1 in a million.
+    """
+
+    shingle: int = 5
+    share: tuple[int, int] = (4, 5)
+    bands: int = 40
+    rows: int = 6
+    most_bits: int = 33
+    seed: int = 42
+
+
+#: What the pipeline links: five-word shingles and a similarity of 0.8 or more.
+SIMILAR = Similar()
+#: An estimate of that by fingerprints alone, which misses and adds links about 0.8: multisets of shingles with a Jaccard
+#: similarity of 0.8 have a cosine of about 0.89 and so differ in about 15 of 100 bits.
 NEAR_COPIES = SimHash(shingle=5, words=8, checks=3, max_bits=89, first_bits=38, leader_bits=34, radius=1, segments=3)
 
 
@@ -76,8 +99,8 @@ def _further(hashes: np.ndarray, number: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, rule: SimHash = SimHash()) -> np.ndarray:
-    """Majority of each bit over the XXH64 of all word shingles, repeats included; zero without words.
+def _shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles, repeats included, in blocks; nothing without words.
 
     A-Z become lower case; words are runs without ASCII white space; a text of fewer words is one shingle.
     """
@@ -86,15 +109,21 @@ def fingerprint(text: str | None, rule: SimHash = SimHash()) -> np.ndarray:
         joined = re.sub(b" +", b" ", joined)
     joined = joined.strip(b" ")
     if not joined:
-        return np.zeros(rule.words, dtype=np.uint64)
+        return
     gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-    width = min(rule.shingle, len(gaps) + 1)
+    width = min(shingle, len(gaps) + 1)
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])[width - 1 :]
-    digest, seed, n = xxhash.xxh64_intdigest, rule.seed, len(ends)
-    ones = np.zeros(64 * rule.words, dtype=np.int64)
-    for at in range(0, n, BLOCK):
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(ends), BLOCK):
         cuts = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist())
-        hashes = np.array([digest(joined[a:b], seed) for a, b in cuts], dtype="<u8")
+        yield np.array([digest(joined[a:b], seed) for a, b in cuts], dtype="<u8")
+
+
+def fingerprint(text: str | None, rule: SimHash = SimHash()) -> np.ndarray:
+    """Majority of each bit over the hashes of all word shingles, repeats included; zero without words."""
+    ones, n = np.zeros(64 * rule.words, dtype=np.int64), 0
+    for hashes in _shingle_hashes(text, rule.shingle, rule.seed):
+        n += len(hashes)
         wide = np.column_stack([_further(hashes, k) for k in range(rule.words)])
         ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")
@@ -115,6 +144,48 @@ def fingerprints(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "doc_
     return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *[f"{w} bigint" for w in _words(rule)]]))
 
 
+def minima(shingles: np.ndarray, rule: Similar) -> np.ndarray:
+    """The least value of each of the rule's random functions over a set of shingles."""
+    random = np.random.default_rng(rule.seed)
+    factors, shifts = random.integers(0, 1 << 64, (2, rule.bands * rule.rows), dtype=np.uint64)
+    factors, least = (factors | np.uint64(1))[:, None], np.full(rule.bands * rule.rows, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1 << 9):
+        np.minimum(least, (factors * shingles[None, at : at + (1 << 9)] + shifts[:, None]).min(axis=1), out=least)
+    return least
+
+
+def shingle_sets(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, f0 (a hash of the whole set), slots (its bands), s0 and s1 (bits of its minima), shingles (the set) of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["doc_id", "f0", "slots", "s0", "s1", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _few_rows(whole)):
+            n, sets = batch.num_rows, []
+            node, slots, bits = np.zeros(n, "<u8"), np.zeros((n, rule.bands), "<u8"), np.zeros((n, 2), "<u8")
+            for i, text in enumerate(batch.column(1)):
+                sets.append(np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingle_hashes(text.as_py(), rule.shingle, rule.seed)])))
+                least = minima(sets[-1], rule)
+                node[i] = xxhash.xxh64_intdigest(sets[-1].tobytes(), rule.seed)
+                slots[i] = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(rule.bands, rule.rows))]
+                mixed = (least[:128] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+                bits[i] = np.packbits(mixed.astype(np.uint8), bitorder="little").view("<u8")
+            longs = [pa.array(c.view(np.int64)) for c in (node, slots.ravel(), bits[:, 0].copy(), bits[:, 1].copy(), np.concatenate([np.zeros(0, "<u8"), *sets]))]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * rule.bands), longs[1])
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], bands, longs[2], longs[3], pa.ListArray.from_arrays(ends, longs[4])], names=names)
+
+    ship(docs.sparkSession)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, f0 bigint, slots array<bigint>, s0 bigint, s1 bigint, shingles array<bigint>")
+
+
+def _few_rows(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, so that few sets are in memory at once."""
+    for at in range(0, batch.num_rows, most):
+        yield batch.slice(at, most)
+
+
 def _words(rule: SimHash) -> list[str]:
     return [f"f{k}" for k in range(rule.words)]
 
@@ -251,12 +322,65 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return written(_rooted(parts, "part", roots, "root").drop("part").withColumnRenamed("root", "part"), "simhash-parts")[0]
 
 
-def drop_near_copies(docs: DataFrame, rule: SimHash = NEAR_COPIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, rule: Similar) -> DataFrame:
+    """Those of pairs(a, b) whose whole sets of shingles, in rows(f0, shingles), are similar; each with a > b."""
+    pairs, path = written(pairs, "similar-pairs")
+    wanted = pairs.select(F.col("a").alias("f0")).unionByName(pairs.select(F.col("b").alias("f0"))).distinct()
+    sets = rows.select("f0", "shingles").join(wanted, "f0", "left_semi").groupBy("f0").agg(F.first("shingles").alias("shingles"))
+    sets, sets_path = written(sets, "similar-sets")
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("f0").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+    both = F.size(F.array_intersect("a_set", "b_set")).cast("bigint")
+    of, whole = rule.share
+    # Shared against the union: both / (a + b - both) >= of / whole.
+    links = pairs.where(both * (of + whole) >= (F.size("a_set").cast("bigint") + F.size("b_set")) * of).select(*_link("a", "b"))
+    links, _ = written(links, "similar-links")
+    for done in (path, sets_path):
+        remove(rows.sparkSession, done)
+    return links
+
+
+def similar_groups(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id and component_id (smallest id reachable by links of similar sets of shingles).
+
+    Texts that are null or without words have the empty set, which is similar to itself alone. Null ids count for
+    nothing in component_id, which is null only where a whole component has no id. Other columns are ignored; an
+    empty table gives no rows.
+    """
+    rows, _ = written(shingle_sets(docs, rule, id_col, text_col), "similar-rows")
+    nodes = rows.groupBy("f0").agg(F.min("doc_id").alias("first"), F.first("slots").alias("slots"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    nodes, _ = written(nodes, "similar-nodes")
+    entries = nodes.select("f0", "s0", "s1", F.explode("slots").alias("slot"))
+    shared = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries, _ = written(entries.join(shared, "slot"), "similar-entries")
+    fullness = entries.groupBy("f0").agg(F.sum("n").alias("full"))
+    ranked = entries.join(fullness, "f0").groupBy("slot").agg(F.max(F.struct("full", "f0", "s0", "s1")).alias("l"))
+    leaders, _ = written(ranked.select("slot", F.col("l.full").alias("b_full"), *[F.col(f"l.{c}").alias(f"b_{c}") for c in ("f0", "s0", "s1")]), "similar-leaders")
+    near = _distance([F.col("s0"), F.col("s1")], [F.col("b_s0"), F.col("b_s1")]) <= rule.most_bits
+    met = entries.join(leaders, "slot").where((F.col("f0") != F.col("b_f0")) & near).groupBy("f0").agg(F.collect_set(F.struct("b_full", "b_f0")).alias("l"))
+    # Of a node's leaders, at most one for each band, the three fullest: they merge what the other join need not compare.
+    first = met.select(F.col("f0").alias("a"), F.explode(F.slice(F.sort_array("l", asc=False), 1, 3)).alias("l")).select("a", F.col("l.b_f0").alias("b"))
+    parts = _merged(nodes.select("f0", "first", F.col("f0").alias("part")), _verified(first, rows, rule))
+    # A link between parts has an end outside the part of its slot's leader.
+    placed = entries.join(parts.select("f0", "part"), "f0")
+    led = leaders.select("slot", F.col("b_f0").alias("f0")).join(parts.select("f0", F.col("part").alias("lead")), "f0").drop("f0")
+    placed, _ = written(placed.join(led, "slot"), "similar-placed")
+    left = placed.where("part != lead").select("slot", "lead", "f0", "s0", "s1", "part")
+    right = placed.select("slot", *[F.col(c).alias(f"b_{c}") for c in ("f0", "s0", "s1", "part")])
+    once = (F.col("b_part") == F.col("lead")) | (F.col("f0") > F.col("b_f0"))
+    rest = left.join(right, "slot").where((F.col("part") != F.col("b_part")) & once & near).select(*_link("f0", "b_f0")).distinct()
+    parts = _merged(parts, _verified(rest, rows, rule))
+    ids, _ = written(parts.groupBy("part").agg(F.min("first").alias("component_id")), "similar-ids")
+    found, _ = written(parts.select("f0", "part").join(ids, "part").select("f0", "component_id"), "similar-components")
+    return rows.select("doc_id", "f0").join(found, "f0").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, rule: SimHash | Similar = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are not the smallest id of their component; every column as it was.
 
     Rows that repeat the smallest id stay together; rows without an id always stay, as no component names them.
     """
-    groups = simhash_groups(docs, rule, id_col, text_col)
+    groups = (similar_groups if isinstance(rule, Similar) else simhash_groups)(docs, rule, id_col, text_col)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     packed = docs.select(quoted(id_col).alias("id"), whole_row(docs).alias("row"))
     return packed.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
