@@ -155,3 +155,10 @@ def test_all_pairs_just_above_the_threshold(spark):
     rows = planted(0.8, 0.82, [150, 300, 600], 300, 5)
     kept = {r["doc_id"] for r in q.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in rows if i % 2 == 0}
+
+
+def test_no_pairs_below_the_threshold(spark):
+    """At 0.75 up to 0.80, where fingerprints link most pairs, none is linked."""
+    rows = planted(0.75, 0.8, [150, 300, 600], 100, 6)
+    kept = {r["doc_id"] for r in q.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows}
