@@ -1,6 +1,7 @@
 """SimHash: fingerprints bit by bit, links and components against all pairs, recall of near copies."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -162,3 +163,24 @@ def test_no_pairs_below_the_threshold(spark):
     rows = planted(0.75, 0.8, [150, 300, 600], 100, 6)
     kept = {r["doc_id"] for r in q.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in rows}
+
+
+def test_documents_against_exact_similarity(spark):
+    """Components of all pairs of documents by exact similarity."""
+    docs = documents(spark, SF)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    sets = []
+    for _, text in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                root = [root[j] if x == root[i] else x for x in root] if root[i] != root[j] else root
+    wanted = {}
+    for i, (d, _) in enumerate(rows):
+        wanted[root[i]] = min(d, wanted.get(root[i], d))
+    assert sorted(r["doc_id"] for r in q.drop_near_copies(docs).collect()) == sorted(wanted.values())
+    assert len(wanted) < len(rows)
