@@ -2,7 +2,8 @@
 
 Text statistics become short vectors of fixed-point numbers. For each (language, source) a
 minimum-covariance-determinant estimate is fitted on the rows that pass the base rules, and rows whose
-squared Mahalanobis distance passes a cutoff are rejected.
+squared Mahalanobis distance passes a cutoff are rejected. Groups too small for an estimate are judged by that of
+all rows of their language, or of all rows.
 
 All of it is DataFrame operations. A concentration step is one aggregation: rows are counted, with the exact
 integer sums and cross products of their vectors, in buckets of their distance to the present estimate; the
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,9 +61,14 @@ class Rules:
     statistics: tuple[Statistic, ...] = STATISTICS
     support: float = 0.6  # share of a group's rows that the estimate rests on
     steps: int = 3  # concentration steps
-    min_group: int = 16  # rows that a group needs for an estimate
+    min_group: int = 16  # rows that an estimate needs
     reweight: float = 0.975  # chi-squared quantile of the rows that the final estimate rests on
     cutoff: float = 60.0  # squared distance beyond which a row is rejected
+    pooled: bool = False  # whether smaller groups are judged by their language's estimate, or that of all rows
+
+
+#: What the registered query and the pipeline use.
+POOLED = Rules(pooled=True)
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -137,13 +144,15 @@ def consistency(share: float, p: int) -> float:
 
 
 _GROUP = ("lang", "source")
+#: What estimates are fitted for: of level 0 a language and source, of level 1 a language, of level 2 all rows.
+_POOL = ("level", *_GROUP)
 
 
 def _with_groups(rows: DataFrame, per_group: DataFrame) -> DataFrame:
     """Join on the group, where nulls are a language or source like others."""
-    right = per_group.withColumnsRenamed({g: f"__{g}" for g in _GROUP})
-    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in _GROUP]
-    return rows.join(right, same[0] & same[1]).drop(*[f"__{g}" for g in _GROUP])
+    right = per_group.withColumnsRenamed({g: f"__{g}" for g in _POOL})
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in _POOL]
+    return rows.join(right, same[0] & same[1] & same[2]).drop(*[f"__{g}" for g in _POOL])
 
 
 def _z(p: int) -> list[str]:
@@ -187,19 +196,19 @@ def _distance(rows: DataFrame, p: int, keep: Sequence[str]) -> DataFrame:
 def _concentrate(measured: DataFrame, p: int, support: float) -> DataFrame:
     """Moments, for each group and start, of the nearest buckets that hold the wanted share of the rows."""
     bucket = F.floor(16 * F.log2(1 + F.col("d2"))).cast("int")
-    cells = measured.groupBy(*_GROUP, "start", bucket.alias("bucket")).agg(*_moments(p))
-    sums = [c for c in cells.columns if c not in (*_GROUP, "start", "bucket")]
-    inside = Window.partitionBy(*_GROUP, "start")
+    cells = measured.groupBy(*_POOL, "start", bucket.alias("bucket")).agg(*_moments(p))
+    sums = [c for c in cells.columns if c not in (*_POOL, "start", "bucket")]
+    inside = Window.partitionBy(*_POOL, "start")
     nearer = inside.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__all", F.sum("n").over(inside)).withColumn("__nearer", F.coalesce(F.sum("n").over(nearer), F.lit(0)))
-    return cells.where(F.col("__nearer") < support * F.col("__all")).groupBy(*_GROUP, "start").agg(*[F.sum(c).alias(c) for c in sums])
+    return cells.where(F.col("__nearer") < support * F.col("__all")).groupBy(*_POOL, "start").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def _first_distances(vectors: DataFrame, p: int, tolerances: Sequence[float]) -> DataFrame:
     """Two starts: Euclidean and largest distance from the medians, in units of the median deviations."""
-    each = vectors.select(*_GROUP, F.posexplode(F.array(*[F.floor(F.col(z) / CELL) for z in _z(p)])).alias("dim", "cell"))
-    cells = each.groupBy(*_GROUP, "dim", "cell").agg(F.count(F.lit(1)).alias("n"))
-    inside = Window.partitionBy(*_GROUP, "dim")
+    each = vectors.select(*_POOL, F.posexplode(F.array(*[F.floor(F.col(z) / CELL) for z in _z(p)])).alias("dim", "cell"))
+    cells = each.groupBy(*_POOL, "dim", "cell").agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*_POOL, "dim")
 
     def median(rows: DataFrame, value: str, name: str) -> DataFrame:
         upto = inside.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
@@ -207,33 +216,33 @@ def _first_distances(vectors: DataFrame, p: int, tolerances: Sequence[float]) ->
         return rows.withColumn("__reached", reached).withColumn(name, F.min(F.when(F.col("__reached"), F.col(value))).over(inside)).drop("__reached")
 
     cells = median(cells, "cell", "med").withColumn("off", F.abs(F.col("cell") - F.col("med")))
-    spread = median(cells, "off", "mad").groupBy(*_GROUP, "dim").agg(F.min("med").alias("med"), F.min("mad").alias("mad"))
-    wide = spread.groupBy(*_GROUP).agg(
+    spread = median(cells, "off", "mad").groupBy(*_POOL, "dim").agg(F.min("med").alias("med"), F.min("mad").alias("mad"))
+    wide = spread.groupBy(*_POOL).agg(
         *[F.max(F.when(F.col("dim") == i, (F.col("med") + 0.5) * CELL)).alias(f"m{i}") for i in range(p)],
         *[F.max(F.when(F.col("dim") == i, F.pow(1.4826 * CELL * F.col("mad"), F.lit(2)) + (tolerances[i] * UNIT) ** 2)).alias(f"v{i}") for i in range(p)],
     )
     wide, _ = written(wide.repartition(1), "mcd-medians")
     off = [F.pow(F.col(f"z{i}") - F.col(f"m{i}"), F.lit(2)) / F.col(f"v{i}") for i in range(p)]
     starts = F.explode(F.array(F.struct(F.lit(0).alias("start"), sum(off, F.lit(0.0)).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*off).alias("d2"))))
-    return _with_groups(vectors, wide).select(*_GROUP, *_z(p), starts.alias("__s")).select(*_GROUP, *_z(p), "__s.start", "__s.d2")
+    return _with_groups(vectors, wide).select(*_POOL, *_z(p), starts.alias("__s")).select(*_POOL, *_z(p), "__s.start", "__s.d2")
 
 
 def covariance_estimates(vectors: DataFrame, rules: Rules) -> DataFrame:
-    """One row for each group of vectors(lang, source, z...) with rows enough: centre and Cholesky factor."""
+    """One row for each group of vectors(level, lang, source, z...) with rows enough: centre and Cholesky factor."""
     p = len(rules.statistics)
     tolerances = [s.tolerance for s in rules.statistics]
-    sizes = vectors.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.min_group).drop("n")
+    sizes = vectors.groupBy(*_POOL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.min_group).drop("n")
     fitted = _with_groups(vectors, sizes)
-    keep, factor = [*_GROUP, "start"], consistency(rules.support, p)
+    keep, factor = [*_POOL, "start"], consistency(rules.support, p)
     measured = _first_distances(fitted, p, tolerances)
     for step in range(rules.steps + 1):
         estimates, _ = written(_estimate(_concentrate(measured, p, rules.support), keep, tolerances, factor).repartition(1), f"mcd-{step}")
         if step < rules.steps:
             measured = _distance(_with_groups(fitted, estimates), p, [*keep, *_z(p)])
-    best = Window.partitionBy(*_GROUP).orderBy("log_det", "start")
+    best = Window.partitionBy(*_POOL).orderBy("log_det", "start")
     raw = estimates.withColumn("__nth", F.row_number().over(best)).where("__nth = 1").drop("__nth", "start", "log_det")
-    near = _distance(_with_groups(fitted, raw), p, [*_GROUP, *_z(p)]).where(F.col("d2") <= chi2_quantile(rules.reweight, p))
-    final = _estimate(near.groupBy(*_GROUP).agg(*_moments(p)), _GROUP, tolerances, consistency(rules.reweight, p))
+    near = _distance(_with_groups(fitted, raw), p, [*_POOL, *_z(p)]).where(F.col("d2") <= chi2_quantile(rules.reweight, p))
+    final = _estimate(near.groupBy(*_POOL).agg(*_moments(p)), _POOL, tolerances, consistency(rules.reweight, p))
     return written(final.repartition(1), "mcd-final")[0]
 
 
@@ -254,25 +263,47 @@ def _judged(stats: DataFrame, estimates: DataFrame, rules: Rules, keep: Sequence
 
 
 def _fit(stats: DataFrame, rules: Rules) -> DataFrame:
-    rows = with_vectors(stats.where(~F.col("base_failed")), rules)
-    return covariance_estimates(rows.select(*_GROUP, *_z(len(rules.statistics))), rules)
-
-
-def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row for each (lang, source) that can be judged: the estimate of its own rows, else of its language's, else of all."""
+    z = _z(len(rules.statistics))
+    vectors = with_vectors(stats.where(~F.col("base_failed")), rules).select(*_GROUP, *z)
+    if not rules.pooled:
+        return covariance_estimates(vectors.select(F.lit(0).alias("level"), *_GROUP, *z), rules).drop("level")
+    sizes, _ = written(vectors.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")), "quality-sizes")
+    languages = sizes.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.min("n").alias("least")).where(F.col("least") < rules.min_group)
+    languages, _ = written(languages.select(F.col("lang").alias("__lang"), F.when(F.col("of_lang") >= rules.min_group, 1).otherwise(2).alias("level")), "quality-languages")
+    pools = [vectors.select(F.lit(0).alias("level"), *_GROUP, *z)]
+    levels = {r["level"] for r in languages.select("level").distinct().collect()}
+    same = F.col("lang").eqNullSafe(F.col("__lang"))
+    if 1 in levels:
+        own = vectors.join(languages.where("level = 1"), same, "left_semi")
+        pools.append(own.select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), *z))
+    if 2 in levels:
+        pools.append(vectors.select(F.lit(2).alias("level"), *[F.lit(None).cast("string").alias(g) for g in _GROUP], *z))
+    fits = covariance_estimates(reduce(DataFrame.unionByName, pools), rules)
+    out = fits.where("level = 0").drop("level")
+    if not levels:
+        return out
+    small = sizes.where(F.col("n") < rules.min_group).join(languages, same).select(*_GROUP, "level")
+    pooled = fits.where("level > 0").drop("source").withColumnsRenamed({"lang": "__lang", "level": "__level"})
+    fitting = (F.col("level") == F.col("__level")) & ((F.col("level") == 2) | F.col("lang").eqNullSafe(F.col("__lang")))
+    return out.unionByName(small.join(pooled, fitting).drop("level", "__level", "__lang"))
+
+
+def quality_rules(docs: DataFrame, rules: Rules = POOLED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     distance2 and kept.
 
     Null texts count as empty and so fail the base rules. A null language or source is a group of its own.
     Repeated rows and ids are judged each for itself. A group with fewer than ``min_group`` rows that pass the
-    base rules has no estimate: its rows have a null distance and are kept. Other columns are ignored; an empty
-    table gives no rows.
+    base rules is judged by the estimate of its language's rows, or of all where these are fewer too; where all are,
+    distances are null and the rows kept, as in every small group of rules that are not ``pooled``. Other columns are ignored; an empty table gives no rows.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     stats, _ = written(text_statistics(named, rules), "quality-statistics")
     return _judged(stats, _fit(stats, rules), rules, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
-def drop_low_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def drop_low_quality(docs: DataFrame, rules: Rules = POOLED) -> DataFrame:
     """docs(doc_id, text, lang, source, ...) without the rows that the rules reject; every column as it was.
 
     The statistics are computed once to fit and once to filter, so no text is shuffled.

@@ -125,3 +125,17 @@ def test_stage_keeps_columns_and_agrees(spark):
     wanted = {r["doc_id"] for r in q.quality_rules(docs).where("kept").collect()}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(wanted)
     assert q.drop_low_quality(odd(spark)).schema == odd(spark).schema
+
+
+def test_small_groups_are_judged(spark):
+    """Junk goes from sources and languages of a few rows as from large ones; of a small table all stays."""
+    good = labels(spark, SF).where("quality = 1").select("doc_id")
+    prose = documents(spark, SF).join(good, "doc_id").where("lang = 'en' AND n_chars BETWEEN 500 AND 3000").orderBy("doc_id").limit(60).collect()
+    junk = " ".join("#$%&|<>*"[i % 7 :] + str(i) for i in range(100))
+    rows = [(i, r["text"], "en", "large") for i, r in enumerate(prose)]
+    small = [(1000, prose[0]["text"], "en", "small"), (1001, junk, "en", "small"), (1002, prose[1]["text"], None, "x"), (1003, junk, None, None)]
+    schema = "doc_id long, text string, lang string, source string"
+    found = {r["doc_id"]: r for r in q.quality_rules(spark.createDataFrame([*rows, *small], schema)).collect()}
+    assert {i: found[i]["kept"] for i in range(1000, 1004)} == {1000: True, 1001: False, 1002: True, 1003: False}
+    assert len(found) == 64 and all(r["distance2"] is not None for r in found.values() if not r["base_failed"])
+    assert all(r["kept"] and r["distance2"] is None for r in q.quality_rules(spark.createDataFrame(small, schema)).collect())
