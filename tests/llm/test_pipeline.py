@@ -1,17 +1,20 @@
 """The pipeline, stage by stage, against brute force on a small table."""
 
 import hashlib
+import math
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tables import empty, odd
 from test_exact_dedup import brute as exact_brute
+from test_near_dup import brute_similar
 from test_quality_rules import brute_estimates, failed, statistics
-from test_token_mix import brute_seats, brute_targets, order, seeded, size
+from test_token_mix import brute_quotas, seeded, size
 
 import corpus_pipeline
-from marlstone.llm import byte_bpe, near_dup, quality_rules, queries
+from marlstone.llm import byte_bpe, quality_rules, queries
 from marlstone.llm.shared import documents, written
 
 SF = "/root/testdata/sf0.001"
@@ -39,62 +42,30 @@ def brute_quality(rows, spark):
     return [r for r in kept if r["doc_id"] in good]
 
 
-def brute_near(rows, rule=near_dup.NEAR_COPIES):
-    prints = {}
-    for r in rows:
-        fp = tuple(int(w) for w in near_dup.fingerprint(r["text"], rule))
-        prints.setdefault(fp[0], []).append((fp[1:], r["doc_id"]))
-    nodes = sorted(prints)
-    words = np.array([(f, *min(prints[f])[0]) for f in nodes], dtype=np.uint64)
-    cut = near_dup._segments(rule, rule.segments)
-    parent = list(range(len(nodes)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(nodes)):
-        differ = words[:i] ^ words[i]
-        near = (np.bitwise_count(differ).sum(axis=1) <= rule.max_bits) & (np.bitwise_count(differ[:, : rule.checks]).sum(axis=1) <= rule.most_first_bits)
-        for j in np.flatnonzero(near):
-            if any(bin(int(differ[j, int(s.word[1:])]) >> s.shift & (1 << s.width) - 1).count("1") <= rule.radius for s in cut):
-                parent[root(i)] = root(int(j))
-    least = {}
-    for i, f in enumerate(nodes):
-        least[root(i)] = min(least.get(root(i), 1 << 60), min(d for _, d in prints[f]))
-    stay = set(least.values())
+def brute_near(rows):
+    stay = set(brute_similar([(r["doc_id"], r["text"]) for r in rows]))
     return [r for r in rows if r["doc_id"] in stay]
 
 
-def brute_mixed(rows, block=64, shard_rows=512, seed=20, tries=16):
-    sizes = {}
+def brute_mixed(rows, spark, block=64, shard_rows=512, seed=20):
+    hashes = dict(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").select("doc_id", F.xxhash64("text")).collect())
+    sizes, count, shards, out = {}, {}, {}, []
     for r in rows:
         sizes[r["source"]] = sizes.get(r["source"], 0) + size(r["text"])
-    target, number = brute_targets(sizes), {s: i + 1 for i, s in enumerate(order(sizes))}
-    shards = {}
+        count[r["source"]] = count.get(r["source"], 0) + 1
     for r in rows:
-        n_shards = -(-sum(x["source"] == r["source"] for x in rows) // shard_rows)
-        shards.setdefault((number[r["source"]], seeded(seed, "shard", r["doc_id"]) % n_shards), []).append(r)
-    words = {k: sum(size(r["text"]) for r in v) for k, v in shards.items()}
-    blocks = {k: max(int(w / block + 0.5), 1) if w else 0 for k, w in words.items()}
-    own = {n: sum(b for k, b in blocks.items() if k[0] == n) for n in number.values()}
-    votes = {number[s]: target[s] * own[number[s]] / sizes[s] for s in sizes}
-    seats = brute_seats(votes, int(sum(votes.values()) + 0.5), {n: 3 * b for n, b in own.items()})
-    out = []
-    for n in number.values():
-        mine = {k: b for k, b in blocks.items() if k[0] == n}
-        for k, quota in brute_seats(mine, seats[n], {k: 3 * b for k, b in mine.items()}).items():
-            lying = sorted(shards[k], key=lambda r: (size(r["text"]), seeded(seed, "order", r["doc_id"]), r["doc_id"]))
-            u = seeded(seed, "offset", *k) % blocks[k]
-
-            def copies(offset):
-                return [((i + 1) * quota + offset) // blocks[k] - (i * quota + offset) // blocks[k] for i in range(len(lying))]
-
-            offsets = [(u + t * blocks[k] // tries) % blocks[k] for t in range(tries)]
-            best = min(offsets, key=lambda o: abs(sum(c * size(r["text"]) for c, r in zip(copies(o), lying)) * blocks[k] - quota * words[k]))
-            for c, r in zip(copies(best), lying):
-                out += [r] * c
+        n_shards = -(-count[r["source"]] // shard_rows)
+        shards.setdefault((r["source"], seeded(seed, "shard", r["doc_id"], hashes[r["doc_id"]]) % n_shards), []).append(r)
+    target, _, blocks, quotas = brute_quotas(sizes, {k: [size(r["text"]) for r in v] for k, v in shards.items()}, block, 3, 4096)
+    for k, held in shards.items():
+        share, left = Fraction(quotas[k], blocks[k]), Fraction(0)
+        for r in sorted(held, key=lambda r: (-size(r["text"]), seeded(seed, "order", r["doc_id"], hashes[r["doc_id"]]))):
+            n = size(r["text"])
+            copies = min(3, max(0, math.floor(share + left / n + Fraction(1, 2))))
+            left += (share - copies) * n
+            out += [r] * copies
+    for s in sizes:
+        assert abs(sum(size(r["text"]) for r in out if r["source"] == s) - target[s]) <= 0.01 * target[s]
     return out
 
 
@@ -107,7 +78,7 @@ def test_stages_against_brute_force(spark):
     rows = docs.collect()
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality_rules", "exact_dedup", "near_dup", "token_mix", "byte_bpe"]
-    for name, brute in (("quality_rules", lambda r: brute_quality(r, spark)), ("exact_dedup", lambda r: [x for x, b in zip(r, exact_brute([(y["doc_id"], y["text"]) for y in r])) if b[3]]), ("near_dup", brute_near), ("token_mix", brute_mixed)):
+    for name, brute in (("quality_rules", lambda r: brute_quality(r, spark)), ("exact_dedup", lambda r: [x for x, b in zip(r, exact_brute([(y["doc_id"], y["text"]) for y in r])) if b[3]]), ("near_dup", brute_near), ("token_mix", lambda r: brute_mixed(r, spark))):
         out = written(stages[name](spark, docs, SF), f"test-{name}")[0]
         assert out.columns == docs.columns
         wanted = brute(rows)
