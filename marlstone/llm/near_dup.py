@@ -39,8 +39,6 @@ from marlstone.shipping import ship
 BLOCK = 1 << 13
 #: Each byte of white space as a space.
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
-#: Distinct fingerprints up to which a word has three segments, and two beyond: longer keys, more probes.
-THREE_SEGMENTS = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -58,7 +56,10 @@ class SimHash:
     #: The same for leaders, which need only find some links, so fewer bits may spare most chance meetings.
     leader_bits: int | None = None
     radius: int | None = None
-    segments: int | None = None  # of each word; None: by the number of fingerprints
+    #: Segments of each word. None: three up to so many distinct fingerprints, two beyond, where slots of 21 bits
+    #: would hold many. The links are the same ones: three need 34 probes a fingerprint, two need 530.
+    segments: int | None = None
+    three_segments_upto: int = 1 << 26
     seed: int = 42
 
     @property
@@ -303,7 +304,7 @@ def simhash_groups(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "do
     wide = [] if rule.words == 1 else [F.min(F.struct(*words[1:])).alias("__w")]
     nodes = rows.groupBy("f0").agg(first, *wide).select("f0", *[F.col(f"__w.{w}") for w in words[1:]], "first")
     nodes, _ = written(nodes, "simhash-nodes")
-    per_word = rule.segments or (3 if nodes.count() <= THREE_SEGMENTS else 2)
+    per_word = rule.segments or (3 if nodes.count() <= rule.three_segments_upto else 2)
     cut = _segments(rule, per_word)
     radius = rule.radius if rule.radius is not None else rule.max_bits // len(cut)
     parts = nodes.withColumn("part", F.col("f0"))

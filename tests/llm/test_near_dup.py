@@ -165,10 +165,8 @@ def test_no_pairs_below_the_threshold(spark):
     assert kept == {i for i, _ in rows}
 
 
-def test_documents_against_exact_similarity(spark):
-    """Components of all pairs of documents by exact similarity."""
-    docs = documents(spark, SF)
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+def brute_similar(rows):
+    """rows: (id, text); the smallest id of each component of all pairs by exact similarity of the sets of shingles."""
     sets = []
     for _, text in rows:
         w = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
@@ -179,8 +177,24 @@ def test_documents_against_exact_similarity(spark):
             b = sets[j]
             if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
                 root = [root[j] if x == root[i] else x for x in root] if root[i] != root[j] else root
-    wanted = {}
+    least = {}
     for i, (d, _) in enumerate(rows):
-        wanted[root[i]] = min(d, wanted.get(root[i], d))
-    assert sorted(r["doc_id"] for r in q.drop_near_copies(docs).collect()) == sorted(wanted.values())
-    assert len(wanted) < len(rows)
+        least[root[i]] = min(d, least.get(root[i], d))
+    return sorted(least.values())
+
+
+def test_documents_against_exact_similarity(spark):
+    """Components of all pairs of documents by exact similarity."""
+    docs = documents(spark, SF)
+    wanted = brute_similar(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
+    assert sorted(r["doc_id"] for r in q.drop_near_copies(docs).collect()) == wanted
+    assert len(wanted) < docs.count()
+
+
+def test_both_numbers_of_segments(spark):
+    """Two and three segments give the same groups, on either side of the number of nodes that decides."""
+    rows = near_copies(60)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = len({fingerprint(t) for _, t in rows})
+    for upto in (nodes, nodes - 1):
+        assert got(q.simhash_groups(table, q.SimHash(three_segments_upto=upto))) == brute(rows)
