@@ -1,11 +1,10 @@
 """Near-duplicates: SimHash by multi-index hashing, and exact similarity of shingle sets.
 
-A fingerprint has one or more 64-bit words; two fingerprints link when they differ in at most ``max_bits``.
-Texts with equal first words are one node. Words are cut into segments: of long fingerprints all but the first
-``checks``. Each node lies in a table under each of its segments, and probes it with the small Hamming ball around
-each segment. The first words are verified in the join (of long fingerprints they have no segments, so they
-tell chance meetings apart), and complete distances right after it. With one word, three segments and at most
-four bits, linked fingerprints differ by at most one bit in some segment, so the search is exact.
+A fingerprint has 64 bits; two fingerprints link when they differ in at most ``max_bits``. Texts with equal
+fingerprints are one node. Fingerprints are cut into segments. Each node lies in a table under each of its
+segments, and probes it with the small Hamming ball around each segment; complete distances are verified in the
+join. With three segments and at most four bits, linked fingerprints differ by at most one bit in some segment, with
+two by at most two bits, so the search is exact.
 
 No group is expanded into all its pairs. Every slot of the table has a leader, its smallest fingerprint. First
 each probe is tried against the leader it meets: at most one row for each. The components of these links are
@@ -43,29 +42,16 @@ _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 @dataclass(frozen=True)
 class SimHash:
-    """What a fingerprint is, and when two of them link: within the bits in all and in the first word, and with a
-    segment within the radius (which one word within ``max_bits`` always has, unless a radius is set)."""
+    """What a fingerprint is, and when two of them link."""
 
     shingle: int = 4
-    words: int = 1
     max_bits: int = 4
-    #: Words that are verified in the join, and have no segments where there are more of them.
-    checks: int = 1
-    #: Bits that may differ in those words, and in a segment; None: as many as max_bits can force.
-    first_bits: int | None = None
-    #: The same for leaders, which need only find some links, so fewer bits may spare most chance meetings.
-    leader_bits: int | None = None
-    radius: int | None = None
-    #: Segments of each word. None: three up to so many distinct fingerprints, two beyond, where slots of 21 bits
-    #: would hold many. The links are the same ones: three need 34 probes a fingerprint, two need 530.
+    #: None: three up to so many distinct fingerprints, two beyond, where slots of 21 bits would hold many. The links
+    #: are the same ones: three need 34 probes a fingerprint, two need 530.
     segments: int | None = None
     three_segments_upto: int = 1 << 26
     seed: int = 42
 
-    @property
-    def most_first_bits(self) -> int:
-        return self.max_bits if self.first_bits is None else self.first_bits
-
 
 @dataclass(frozen=True)
 class Similar:
@@ -85,20 +71,6 @@ class Similar:
 
 #: What the pipeline links: five-word shingles and a similarity of 0.8 or more.
 SIMILAR = Similar()
-#: An estimate of that by fingerprints alone, which misses and adds links about 0.8: multisets of shingles with a Jaccard
-#: similarity of 0.8 have a cosine of about 0.89 and so differ in about 15 of 100 bits.
-NEAR_COPIES = SimHash(shingle=5, words=8, checks=3, max_bits=89, first_bits=38, leader_bits=34, radius=1, segments=3)
-
-
-def _further(hashes: np.ndarray, number: int) -> np.ndarray:
-    """The number-th word made from 64-bit hashes: the hashes themselves, then splitmix64 of them."""
-    if number == 0:
-        return hashes
-    z = hashes + np.uint64(0x9E3779B97F4A7C15 * number & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
 
 def _shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
     """XXH64 of all word shingles, repeats included, in blocks; nothing without words.
@@ -120,29 +92,26 @@ def _shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.nd
         yield np.array([digest(joined[a:b], seed) for a, b in cuts], dtype="<u8")
 
 
-def fingerprint(text: str | None, rule: SimHash = SimHash()) -> np.ndarray:
+def fingerprint(text: str | None, rule: SimHash = SimHash()) -> int:
     """Majority of each bit over the hashes of all word shingles, repeats included; zero without words."""
-    ones, n = np.zeros(64 * rule.words, dtype=np.int64), 0
+    ones, n = np.zeros(64, dtype=np.int64), 0
     for hashes in _shingle_hashes(text, rule.shingle, rule.seed):
         n += len(hashes)
-        wide = np.column_stack([_further(hashes, k) for k in range(rule.words)])
-        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+        ones += np.unpackbits(hashes[:, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the words of the fingerprint, f0 and on (as signed 64-bit numbers), of every row."""
+    """doc_id and f0, the fingerprint as a signed 64-bit number, of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((rule.words, batch.num_rows), dtype=np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                out[:, i] = fingerprint(text.as_py(), rule)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(w.view(np.int64)) for w in out]], names=["doc_id", *_words(rule)])
+            out = np.array([fingerprint(text.as_py(), rule) for text in batch.column(1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "f0"])
 
     ship(docs.sparkSession)
-    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *[f"{w} bigint" for w in _words(rule)]]))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, f0 bigint")
 
 
 def minima(shingles: np.ndarray, rule: Similar) -> np.ndarray:
@@ -187,14 +156,9 @@ def _few_rows(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch
         yield batch.slice(at, most)
 
 
-def _words(rule: SimHash) -> list[str]:
-    return [f"f{k}" for k in range(rule.words)]
-
-
 @dataclass(frozen=True)
 class _Segment:
     number: int
-    word: str
     shift: int
     width: int
 
@@ -202,15 +166,14 @@ class _Segment:
         return F.shiftrightunsigned(word, self.shift).bitwiseAND(F.lit((1 << self.width) - 1))
 
 
-def _segments(rule: SimHash, per_word: int) -> list[_Segment]:
-    widths = [64 // per_word + (i < 64 % per_word) for i in range(per_word)]
-    cut = _words(rule)[rule.checks :] or _words(rule)
-    return [_Segment(k * per_word + i, w, sum(widths[:i]), widths[i]) for k, w in enumerate(cut) for i in range(per_word)]
+def _segments(n: int) -> list[_Segment]:
+    widths = [64 // n + (i < 64 % n) for i in range(n)]
+    return [_Segment(i, sum(widths[:i]), widths[i]) for i in range(n)]
 
 
 def _entries(nodes: DataFrame, cut: list[_Segment]) -> DataFrame:
     """Each node once under each of its segments; slot holds the segment's number and bits."""
-    return nodes.select("*", F.explode(F.array(*[s.of(F.col(s.word)) + F.lit(s.number << 40) for s in cut])).alias("slot"))
+    return nodes.select("*", F.explode(F.array(*[s.of(F.col("f0")) + F.lit(s.number << 40) for s in cut])).alias("slot"))
 
 
 def _ball(own: Column, segment: _Segment, radius: int) -> Column:
@@ -222,7 +185,7 @@ def _ball(own: Column, segment: _Segment, radius: int) -> Column:
 
 def _probes(nodes: DataFrame, cut: list[_Segment], radius: int) -> DataFrame:
     """Each node under every slot of its balls that is not above its own: two slots meet from one side only."""
-    return nodes.select("*", F.explode(F.concat(*[_ball(s.of(F.col(s.word)), s, radius) for s in cut])).alias("slot"))
+    return nodes.select("*", F.explode(F.concat(*[_ball(s.of(F.col("f0")), s, radius) for s in cut])).alias("slot"))
 
 
 def _distance(left: list[Column], right: list[Column]) -> Column:
@@ -233,35 +196,20 @@ def _link(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def probe_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment], radius: int, leaders_only: bool) -> DataFrame:
-    """Links (a, b) of nodes(f..., part) between different parts, verified by complete distance."""
-    words, checks = _words(rule), _words(rule)[: rule.checks]
-    left = _probes(nodes, cut, radius).select(*[F.col(w).alias(f"a_{w}") for w in checks], F.col("part").alias("pa"), "slot")
-    right = _entries(nodes, cut).select(*[F.col(w).alias(f"b_{w}") for w in checks], F.col("part").alias("pb"), F.col("slot").alias("__slot"))
+def probe_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment], leaders_only: bool) -> DataFrame:
+    """Links (a, b) of nodes(f0, part) between different parts, verified by complete distance."""
+    left = _probes(nodes, cut, rule.max_bits // len(cut)).select(F.col("f0").alias("fa"), F.col("part").alias("pa"), "slot")
+    right = _entries(nodes, cut).select(F.col("f0").alias("fb"), F.col("part").alias("pb"), F.col("slot").alias("__slot"))
     if leaders_only:
-        right = right.groupBy("__slot").agg(F.min(F.struct(*[f"b_{w}" for w in checks], "pb")).alias("l")).select("__slot", "l.*")
-    most = rule.leader_bits if leaders_only and rule.leader_bits is not None else rule.most_first_bits
-    first = _distance([F.col(f"a_{w}") for w in checks], [F.col(f"b_{w}") for w in checks]) <= most
-    same = (F.col("slot") == F.col("__slot")) & (F.col("pa") != F.col("pb")) & first
-    pairs = left.join(right, same).select(*_link("a_f0", "b_f0")).distinct()
-    if rule.words > rule.checks:
-        for side in ("a", "b"):
-            pairs = pairs.join(nodes.select(F.col("f0").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in words]), side)
-        pairs = pairs.where(_near(rule, "a_", "b_")).select("a", "b")
+        right = right.groupBy("__slot").agg(F.min(F.struct("fb", "pb")).alias("l")).select("__slot", "l.*")
+    near = _distance([F.col("fa")], [F.col("fb")]) <= rule.max_bits
+    pairs = left.join(right, (F.col("slot") == F.col("__slot")) & (F.col("pa") != F.col("pb")) & near).select(*_link("fa", "fb")).distinct()
     if not leaders_only:
         return pairs
     # Of a node's leaders two are enough to merge what the other join need not compare.
     return pairs.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b"))
 
 
-def _near(rule: SimHash, left: str, right: str) -> Column:
-    """Whether two fingerprints, in columns with these prefixes, are within the bits."""
-    pairs = [([F.col(f"{left}{w}")], [F.col(f"{right}{w}")]) for w in _words(rule)]
-    all_bits = sum((_distance(a, b) for a, b in pairs), F.lit(0))
-    first = sum((_distance(a, b) for a, b in pairs[: rule.checks]), F.lit(0))
-    return (all_bits <= rule.max_bits) & (first <= rule.most_first_bits)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(a, b): each linked node but the smallest of its component, and that smallest node, of links(a, b) with a > b."""
     spark = links.sparkSession
@@ -291,25 +239,19 @@ def _rooted(nodes: DataFrame, key: str, roots: DataFrame, name: str) -> DataFram
 
 
 def simhash_groups(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (first word, 16 lower-case hex digits), component_id (smallest id reachable).
+    """One row per row of docs: doc_id, fingerprint (16 lower-case hex digits), component_id (smallest id reachable).
 
-    Texts that are null or without words have fingerprint zero and link like any others. Null ids count for
+    Texts that are null or without words have fingerprint zero and link like any others; very long texts are read
+    whole, in blocks of shingles. Null ids count for
     nothing in component_id, which is null only where a whole component has no id. Repeated rows are in one
     component. Other columns are ignored; an empty table gives no rows.
     """
-    words = _words(rule)
     rows, _ = written(fingerprints(docs, rule, id_col, text_col), "simhash-rows")
-    first = F.min("doc_id").alias("first")
-    # Where first words are equal, the smallest of the further words stands for all.
-    wide = [] if rule.words == 1 else [F.min(F.struct(*words[1:])).alias("__w")]
-    nodes = rows.groupBy("f0").agg(first, *wide).select("f0", *[F.col(f"__w.{w}") for w in words[1:]], "first")
-    nodes, _ = written(nodes, "simhash-nodes")
-    per_word = rule.segments or (3 if nodes.count() <= rule.three_segments_upto else 2)
-    cut = _segments(rule, per_word)
-    radius = rule.radius if rule.radius is not None else rule.max_bits // len(cut)
+    nodes, _ = written(rows.groupBy("f0").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    cut = _segments(rule.segments or (3 if nodes.count() <= rule.three_segments_upto else 2))
     parts = nodes.withColumn("part", F.col("f0"))
     for leaders_only in (True, False):
-        parts = _merged(parts, probe_links(parts.select(*words, "part"), rule, cut, radius, leaders_only))
+        parts = _merged(parts, probe_links(parts.select("f0", "part"), rule, cut, leaders_only))
     ids, _ = written(parts.groupBy("part").agg(F.min("first").alias("component_id")), "simhash-ids")
     placed, _ = written(parts.select("f0", "part").join(ids, "part").select("f0", "component_id"), "simhash-components")
     return rows.join(placed, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
@@ -344,7 +286,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, rule: Similar) -> DataFrame:
 def similar_groups(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id and component_id (smallest id reachable by links of similar sets of shingles).
 
-    Texts that are null or without words have the empty set, which is similar to itself alone. Null ids count for
+    Texts that are null or without words have the empty set, which is similar to itself alone; very long texts are
+    read whole. Two sets exactly at the rule's share are linked. Null ids count for
     nothing in component_id, which is null only where a whole component has no id. Other columns are ignored; an
     empty table gives no rows.
     """
@@ -379,7 +322,9 @@ def similar_groups(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_
 def drop_near_copies(docs: DataFrame, rule: SimHash | Similar = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are not the smallest id of their component; every column as it was.
 
-    Rows that repeat the smallest id stay together; rows without an id always stay, as no component names them.
+    Null texts and texts without words are near copies of each other, and of nothing else by the rule of shingle
+    sets. Rows that repeat the smallest id stay together; rows without an id always stay, as no component names
+    them. Very long texts are read whole; an empty table gives no rows.
     """
     groups = (similar_groups if isinstance(rule, Similar) else simhash_groups)(docs, rule, id_col, text_col)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()

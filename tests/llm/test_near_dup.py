@@ -63,10 +63,8 @@ def near_copies(n=150):
 
 def test_fingerprint_of_blocks():
     text = " ".join(f"W{i % 5000}" for i in range(20_000))
-    assert int(q.fingerprint(text)[0]) == fingerprint(text)
-    assert int(q.fingerprint("ÀB c")[0]) == fingerprint("Àb C") and int(q.fingerprint(None)[0]) == 0
-    wide = q.fingerprint(text, q.SimHash(words=3))
-    assert int(wide[0]) == fingerprint(text) and len(set(map(int, wide))) == 3
+    assert q.fingerprint(text) == fingerprint(text)
+    assert q.fingerprint("ÀB c") == fingerprint("Àb C") and q.fingerprint(None) == 0
 
 
 @pytest.mark.parametrize("segments", [None, 2])
