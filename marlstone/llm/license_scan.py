@@ -5,15 +5,18 @@ punctuation and white space, and one spelling for words that licences spell in s
 canonical form of a whole text is looked up, by a hash join, among the digests of known licences; each line that
 could be a licence notice is looked up among known notices.
 
-Canonical forms longer than any known one with room for other spellings cannot match, so only shorter ones are
-spelled and digested. Only lines that have the stem all notices have are canonicalised.
+Canonical forms longer than any known one with room for other spellings cannot match, nor can those without a word
+that every known form has; so only the others are spelled and digested. Only lines that have the stem all notices have are canonicalised.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +49,6 @@ SPELLINGS = (
     ("licence", "license"),
     ("licenced", "licensed"),
     ("licences", "licenses"),
-    ("merchantability", "merchantability"),
     ("non commercial", "noncommercial"),
     ("offence", "offense"),
     ("organisation", "organization"),
@@ -61,62 +63,49 @@ SPELLINGS = (
     ("wilful", "willful"),
 )
 
-#: Known licences by SPDX id: fixed texts, without their copyright lines.
-LICENSES = {
-    "MIT": """MIT License
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation
-the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
-to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions
-of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
-THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
-CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
-IN THE SOFTWARE.
-""",
-    "ISC": """ISC License
-
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
-ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
-DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
-WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
-USE OR PERFORMANCE OF THIS SOFTWARE.
-""",
-    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee
-is hereby granted.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
-ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
-DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
-WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
-USE OR PERFORMANCE OF THIS SOFTWARE.
-""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
-provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
-following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
-following disclaimer in the documentation and/or other materials provided with the distribution.
-
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
-WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
-PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
-INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
-GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
-LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
-OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
-""",
+#: Where the known licences lie, as <SPDX id>.txt: fixed texts.
+FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licenses")
+
+#: Titles under which licences are also found, beside that of their text and none.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License"),
+    "ISC": ("ISC License", "ISC License (ISC)", "The ISC License"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
 }
+#: What may end a licence's terms, with advice on their use after it.
+END = "END OF TERMS AND CONDITIONS"
+
+
+def known_licenses(folder: str = FOLDER) -> dict[str, str]:
+    """The texts of a folder, by SPDX id."""
+    out = {}
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".txt"):
+            with open(os.path.join(folder, name), encoding="utf-8") as file:
+                out[name.removesuffix(".txt")] = file.read()
+    return out
+
+
+LICENSES = known_licenses()
+
+
+def forms(name: str, text: str) -> list[str]:
+    """A licence as it is found: whole or up to the end of its terms, under its own title, another of TITLES, or none.
+
+    A title is the first of several paragraphs, where TITLES has it.
+    """
+    titles = [t for t in TITLES.get(name, ())]
+    first, _, rest = text.strip("\n").partition("\n\n")
+    body = rest if canonical(first) in {canonical(t) for t in titles} else text
+    wholes = [text, *([body] if titles else []), *[f"{t}\n\n{body}" for t in titles]]
+    head, end, _ = text.partition(END)
+    return [*wholes, *([head, head + end] if end else [])]
+
 
 #: Known one-line notices: fixed texts, and the SPDX id they tell of.
 NOTICES = {
@@ -129,6 +118,13 @@ NOTICES = {
     "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-only",
     "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
     "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+    'Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2.0",
+    "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+    "Licensed under the MIT License": "MIT",
+    "This project is licensed under the MIT License.": "MIT",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+    **{f"SPDX-License-Identifier: {name}": name for name in LICENSES},
 }
 
 #: Most known licences that are broadcast, and notices that are looked up in a constant.
@@ -161,16 +157,40 @@ def spelled_column(plain: Column) -> Column:
     return F.trim(F.regexp_replace(spread, " +", " "))
 
 
-def longest(texts: Mapping[str, object] | list[str]) -> int:
+def longest(texts: Iterable[str]) -> int:
     """Length that no canonical form, before spelling, of a match can pass: one spelling is at most 1.5 times another."""
     return 2 + int(1.5 * max((len(canonical(t)) for t in texts), default=0))
 
 
+def digests(licenses: Mapping[str, str]) -> dict[str, str]:
+    """The licence of each known digest; of several the first id."""
+    out: dict[str, str] = {}
+    for name in sorted(licenses):
+        for form in forms(name, licenses[name]):
+            out.setdefault(digest(form), name)
+    return out
+
+
+def markers(licenses: Mapping[str, str]) -> list[str]:
+    """A few words one of which every known form has, and which no spelling changes: texts without them match nothing."""
+    spelled = {word for pair in SPELLINGS for side in pair for word in side.split()}
+    left = [set(canonical(form).split()) - spelled for name in licenses for form in forms(name, licenses[name])]
+    if not all(left):
+        return []
+    out = []
+    while left:
+        times = Counter(word for words in left for word in words)
+        best = max(times, key=lambda word: (times[word], len(word), word))
+        out.append(best)
+        left = [words for words in left if best not in words]
+    return out
+
+
 def scan_licenses(docs: DataFrame, licenses: Mapping[str, str] = LICENSES, notices: Mapping[str, str] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, license_id (of the whole text, else null), notice_ids (those of its lines,
     each once, in order, joined by commas; empty for none) and n_notices (lines that are notices).
 
-    Null and empty texts match nothing. Of several licences with one canonical form the first id counts. Repeated
+    Null and empty texts match nothing; very long texts are read whole. Of several licences with one canonical form the first id counts. Repeated
     rows get repeated results; a null id stays null. Other columns are ignored; an empty table gives no rows.
     """
     if len(licenses) > MOST_LICENSES or len(notices) > MOST_NOTICES:
@@ -178,19 +198,19 @@ def scan_licenses(docs: DataFrame, licenses: Mapping[str, str] = LICENSES, notic
     if lacking := [n for n in notices if STEM not in canonical(n)]:
         raise ValueError(f"notices without {STEM!r}: {lacking}")
     spark = docs.sparkSession
-    known = {}
-    for name in sorted(licenses):
-        known.setdefault(digest(licenses[name]), name)
+    known, marks = digests(licenses), markers(licenses)
     table = F.broadcast(spark.createDataFrame(sorted(known.items()), "__digest string, license_id string"))
     told = {digest(n): i for n, i in notices.items()}
     keys = sorted(told)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("plain", plain_column(F.col("text")))
-    short = F.length("plain") <= longest(list(licenses.values()))
+    short = F.length("plain") <= longest(licenses.values())
+    if marks:
+        short = short & reduce(lambda a, b: a | b, [F.contains("plain", F.lit(f" {word} ")) for word in marks])
     rows = rows.withColumn("__key", F.when(short, F.sha2(spelled_column(F.col("plain")), 256)))
     likely = F.filter(F.split("text", "\n"), lambda line: F.lower(line).contains(STEM))
-    bound = longest(list(notices))
+    bound = longest(notices)
     lines = F.filter(F.transform(likely, plain_column), lambda line: F.length(line) <= bound)
     found = F.filter(F.transform(lines, lambda line: F.sha2(spelled_column(line), 256)), lambda d: d.isin(keys))
     rows = rows.withColumn("__found", found)
@@ -211,11 +231,8 @@ def duckdb_sql(licenses: Mapping[str, str] = LICENSES, notices: Mapping[str, str
             out = f"replace({out}, ' {other.replace(' ', '  ')} ', ' {one.replace(' ', '  ')} ')"
         return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g'), ' '))"
 
-    known: dict[str, str] = {}
-    for name in sorted(licenses):
-        known.setdefault(digest(licenses[name]), name)
-    values = ", ".join(f"('{d}', '{i}')" for d, i in sorted(known.items()))
-    told = ", ".join(f"('{digest(n)}', '{i}')" for n, i in notices.items())
+    values = ", ".join(f"('{d}', '{i}')" for d, i in sorted(digests(licenses).items()))
+    told = ", ".join(f"('{d}', '{i}')" for d, i in {digest(n): i for n, i in notices.items()}.items())
     return f"""
 WITH known(digest, license_id) AS (VALUES {values}), told(digest, notice_id) AS (VALUES {told}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
