@@ -86,7 +86,7 @@ def decode(enc: tiktoken.Encoding, ids: np.ndarray, piece: int = PIECE) -> Itera
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, ids (token ids; only ``with_ids``), n_tokens, ids_sha256, decoded_sha256.
 
-    Null texts count as empty: no ids, and the digests of nothing. Each row is taken for itself, so repeated rows
+    Null texts count as empty: no ids, and the digests of nothing. Very long texts are encoded whole, in pieces. Each row is taken for itself, so repeated rows
     and ids give repeated results; a null id stays null. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -121,7 +121,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row of encoded: doc_id and content, the raw bytes of its ids (empty for null)."""
+    """One row per row of encoded: doc_id and content, the raw bytes of its ids (empty for null).
+
+    Each row is taken for itself, so repeated rows and null ids stay as they are; very long lists are decoded in
+    parts. Other columns are ignored; an empty table gives no rows.
+    """
     spark = encoded.sparkSession
     shipped = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))

@@ -51,7 +51,7 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null texts count as empty, and empty texts are equal to each other. A null id never wins over another;
+    Null texts count as empty, and empty texts are equal to each other; very long texts are compared whole. A null id never wins over another;
     where all ids of a group are null, keep_id is null and its rows are kept. Rows that repeat an id with an
     equal text are one document given several times: all count in group_size and carry the same verdict.
     Rows that repeat an id with different texts are judged apart. Other columns are ignored; an empty table
@@ -77,7 +77,12 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """docs without the rows whose text a kept row has; every column as it was."""
+    """docs without the rows whose text a kept row has; every column as it was.
+
+    The verdicts are those of exact_dedup: null texts count as empty, very long ones are compared whole, and rows
+    that repeat the smallest id of their text all stay, as they are one document; so do all rows of a text that
+    has no id. An empty table gives no rows.
+    """
     gone = exact_dedup(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
     packed = docs.select(quoted(id_col).alias("id"), F.sha2(normalised(quoted(text_col)), 256).alias("sha"), whole_row(docs).alias("row"))
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha"))

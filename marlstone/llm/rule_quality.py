@@ -213,7 +213,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> tup
 def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (higher: label 1 likelier), predicted (1 from ``threshold`` on).
 
-    Null and empty texts have the statistics of no words, and a score like any others. Null labels are not
+    Null and empty texts have the statistics of no words, and a score like any others; very long texts are read
+    whole. Null labels are not
     learned from; of several texts under one labelled id the one with the least statistics is. A null id counts
     as held out. Repeated rows get repeated results. Without labels every score is 0.5. Other columns are
     ignored; an empty table gives no rows.

@@ -8,7 +8,7 @@ goes by the index.
 
 Every attempt of a task writes files of its own names, and a file counts only where the table of archives,
 which Spark commits for one attempt, names it. So executors can be lost at any time. Files are reached by
-pyarrow's file systems, in the shared folder; memory holds one record at a time and one buffer of the stream.
+pyarrow's file systems, in the shared folder (so its URI must be of a kind that both Spark and pyarrow know); memory holds one record at a time and one buffer of the stream.
 """
 
 from __future__ import annotations
@@ -100,8 +100,10 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         held += chunk
         begin = 0
         while (at := held.find(b"\r\n\r\n", begin)) >= 0:
-            length = next(int(x.split(b":", 1)[1]) for x in bytes(held[begin:at]).split(b"\r\n") if x.lower().startswith(b"content-length:"))
-            end = at + 4 + length + 4
+            told = [x.split(b":", 1)[1].strip() for x in bytes(held[begin:at]).split(b"\r\n") if x.lower().startswith(b"content-length:")]
+            if len(told) != 1 or not told[0].isdigit():
+                raise ValueError("a record doesn't tell its length")
+            end = at + 4 + int(told[0]) + 4
             if len(held) < end:
                 break
             yield bytes(held[begin:end])
@@ -247,8 +249,8 @@ def normalise_archives(archives: Archives) -> Archives:
     return Archives(written(_one_by_one(archives).mapInArrow(run, "archive string, n_records bigint"), "warc-normalised")[0], folder)
 
 
-def read_archives(archives: Archives) -> DataFrame:
-    """One row per record, read by the index: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
+def read_archives(archives: Archives, with_payload: bool = True) -> DataFrame:
+    """One row per record, read by the index: page_id, url, record_type, payload_bytes, payload_digest, refers_to, and ``with_payload`` payload.
 
     A revisit's length and digest are those that its headers tell of the full payload, and its payload is null;
     a response's are computed from what was read, which must agree with its headers.
@@ -257,8 +259,8 @@ def read_archives(archives: Archives) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(folder)
-        names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * with_payload
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -272,7 +274,7 @@ def read_archives(archives: Archives) -> DataFrame:
                         kind, told = headers["WARC-Type"], (int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"))
                         if kind == "response" and told != (len(block), hashlib.sha1(block).hexdigest()):
                             raise ValueError(f"{name}: {headers['WARC-Record-ID']} doesn't hold the payload that it tells of")
-                        rows.append((page_of(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), kind, *told, page_of(headers.get("WARC-Refers-To")), block if kind == "response" else None))
+                        rows.append((page_of(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), kind, *told, page_of(headers.get("WARC-Refers-To")), *[block if kind == "response" else None] * with_payload))
                         size += len(block)
                         if size >= BUFFER:
                             yield packed(rows)
@@ -280,7 +282,7 @@ def read_archives(archives: Archives) -> DataFrame:
                 if rows:
                     yield packed(rows)
 
-    schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
+    schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint" + ", payload binary" * with_payload
     return _one_by_one(archives).mapInArrow(run, schema)
 
 
@@ -298,5 +300,5 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = LEAST)
 
     Extra columns are ignored; an empty table gives no archives and no rows. See write_archives for nulls and ties.
     """
-    read = read_archives(normalise_archives(write_archives(pages, folder, least)))
+    read = read_archives(normalise_archives(write_archives(pages, folder, least)), with_payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -84,6 +84,6 @@ def test_normaliser():
 def test_broken_streams():
     mono = io.BytesIO()
     w.write_monolithic(iter([w.page_record(1, "u", b"x" * 5000, "d", None, False)]), mono)
-    for broken in (mono.getvalue()[:-20], gzip.compress(w.record({"WARC-Type": "response"}, b"abc")[:-3])):
+    for broken in (mono.getvalue()[:-20], gzip.compress(w.record({"WARC-Type": "response"}, b"abc")[:-3]), gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n"), gzip.compress(b"WARC/1.1\r\nContent-Length: x\r\n\r\nabc\r\n\r\n")):
         with pytest.raises(ValueError):
             list(w.normalise(io.BytesIO(broken), io.BytesIO()))
