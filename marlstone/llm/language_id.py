@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.grams import Grams, byte_classes, per_text
+from marlstone.llm.grams import Grams, blocks, byte_classes, per_text
 from marlstone.llm.shared import few_by_hash, held_out, lowered
 from marlstone.shipping import ship
 
@@ -71,10 +71,11 @@ UNDETERMINED = "und"
 class Settings:
     """Production parameters."""
 
-    #: The training sample: at most so many documents of a language, in all (of fewer languages than that), and code points of each.
+    #: The training sample: at most so many ids of a language, in all, and languages; whole texts are learned from.
     per_language: int = 1000
     most_documents: int = 12000
-    most_chars: int = 20000
+    #: The model has 2 ** bits numbers for each language, and is broadcast; more languages are an error.
+    most_languages: int = 64
     sizes: tuple[int, ...] = (2, 3, 4)
     bits: int = 17
     smoothing: float = 0.5
@@ -116,23 +117,37 @@ def word_scripts(block: Grams) -> np.ndarray:
     return out
 
 
-def train(texts: list[bytes], languages: list[str], settings: Settings = Settings()) -> Model:
-    """Multinomial log-probabilities of hashed n-grams; texts are lower-cased UTF-8."""
-    names = sorted(set(languages))
-    counts = np.zeros((1 << settings.bits, max(1, len(names))))
-    letters = np.zeros((max(1, len(names)), len(_SCRIPTS)))
-    for text, language in zip(texts, languages):
-        c = names.index(language)
-        block = Grams(text, settings.sizes, settings.bits, _CLASSES)
+def count_grams(texts: list[bytes], settings: Settings) -> np.ndarray:
+    """How often each bucket's n-grams occur in texts of one language, and after them words with a letter of each script."""
+    out = np.zeros((1 << settings.bits) + len(_SCRIPTS), dtype=np.int64)
+    for raw, _ in blocks(texts):
+        block = Grams(raw, settings.sizes, settings.bits, _CLASSES)
         for buckets in block.buckets:
-            counts[:, c] += np.bincount(buckets, minlength=len(counts))
+            out[: 1 << settings.bits] += np.bincount(buckets, minlength=1 << settings.bits)
         masks = word_scripts(block)
-        letters[c] += [(masks >> k & 1).sum() for k in range(len(_SCRIPTS))]
-    logs = np.log(counts + settings.smoothing) - np.log((counts + settings.smoothing).sum(axis=0))
-    table = (logs - logs.mean(axis=1, keepdims=True)) * settings.weight
-    shares = letters / np.maximum(letters.sum(axis=1, keepdims=True), 1)
-    scripts = ((shares >= settings.script_share) * (1 << np.arange(len(_SCRIPTS)))).sum(axis=1).astype(np.uint32)
-    return Model(names, table.astype(np.float32), scripts, settings)
+        out[1 << settings.bits :] += [int((masks >> np.uint32(k) & 1).sum()) for k in range(len(_SCRIPTS))]
+    return out
+
+
+def fitted(counts: dict[str, np.ndarray], settings: Settings = Settings()) -> Model:
+    """Multinomial log-probabilities of hashed n-grams, by the counts of each language."""
+    names = sorted(counts)
+    table = np.zeros((1 << settings.bits, max(1, len(names))), dtype=np.float32)
+    scripts = np.zeros(max(1, len(names)), dtype=np.uint32)
+    for c, name in enumerate(names):
+        grams, letters = counts[name][: 1 << settings.bits] + settings.smoothing, counts[name][1 << settings.bits :]
+        table[:, c] = (np.log(grams) - np.log(grams.sum())) * settings.weight
+        scripts[c] = ((letters / max(letters.sum(), 1) >= settings.script_share) * (1 << np.arange(len(_SCRIPTS)))).sum()
+    table -= table.mean(axis=1, keepdims=True)
+    return Model(names, table, scripts, settings)
+
+
+def train(texts: list[bytes], languages: list[str], settings: Settings = Settings()) -> Model:
+    """A model of lower-cased UTF-8 texts and their languages."""
+    of: dict[str, list[bytes]] = {}
+    for text, language in zip(texts, languages):
+        of.setdefault(language, []).append(text)
+    return fitted({name: count_grams(own, settings) for name, own in of.items()}, settings)
 
 
 def score_words(model: Model, texts: list[bytes]) -> list[np.ndarray]:
@@ -149,7 +164,9 @@ def score_words(model: Model, texts: list[bytes]) -> list[np.ndarray]:
         scores -= scores.max(axis=1, keepdims=True)
         scores = np.maximum(scores, -s.word_most)
         scores[out] = -s.word_most
-        return block.starts - 1, np.column_stack([block.ends - block.starts, scores])
+        # Letters, not bytes: all but the continuation bytes of UTF-8.
+        upto = np.concatenate([[0], np.cumsum((block.bytes & 0xC0) != 0x80)])
+        return block.starts - 1, np.column_stack([upto[block.ends] - upto[block.starts], scores])
 
     return per_text(texts, 1 + width, of_block)
 
@@ -197,27 +214,54 @@ def judge(words: np.ndarray, path: np.ndarray, model: Model) -> tuple[str, float
     return model.languages[best], float(letters[best] / letters.sum()) * sure
 
 
-def training_rows(docs: DataFrame, settings: Settings) -> tuple[list[bytes], list[str]]:
-    """The bounded sample: documents outside the held-out fold with a language, by a hash of their id."""
+def trained(docs: DataFrame, settings: Settings) -> Model:
+    """The model of a bounded sample of docs(doc_id, text, lang): ids outside the held-out fold, by a hash, with a language.
+
+    The executors count n-grams of the whole texts; the driver gets a number for each language and bucket.
+    """
     named = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = named.select("lang").distinct().count()
-    each = max(1, min(settings.per_language, settings.most_documents // max(1, languages)))
-    few = few_by_hash(named.select("doc_id", "lang"), each, "lang").distinct()
+    names = sorted(r[0] for r in named.select("lang").distinct().limit(settings.most_languages + 1).collect())
+    if len(names) > settings.most_languages:
+        raise ValueError(f"more than {settings.most_languages} languages: their model has no bound")
+    if not names:
+        return fitted({}, settings)
+    each = max(1, min(settings.per_language, settings.most_documents // len(names)))
+    few = few_by_hash(named.select("doc_id", "lang"), each, "lang", settings.most_languages)
     # At most most_documents ids: a proven bound.
-    found = named.select("doc_id", "lang", F.substring("text", 1, settings.most_chars).alias("text")).join(F.broadcast(few), ["doc_id", "lang"])
-    rows = found.orderBy("doc_id", "lang", "text").limit(settings.most_documents).toArrow()
-    return lowered(rows["text"].combine_chunks()), rows["lang"].to_pylist()
+    found = named.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"]).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            of: dict[str, list[bytes]] = {}
+            for name, text in zip(batch.column(0).to_pylist(), lowered(batch.column(1))):
+                of.setdefault(name, []).append(text)
+            for name, texts in of.items():
+                sums[name] = sums.get(name, 0) + count_grams(texts, settings)
+        for name, counts in sums.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), names.index(name), np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
+
+    ship(docs.sparkSession)
+    rows = found.mapInArrow(count, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    lang, bucket, n = (rows[c].to_numpy() for c in ("lang", "bucket", "n"))
+    counts = {}
+    for c, name in enumerate(names):
+        counts[name] = np.zeros((1 << settings.bits) + len(_SCRIPTS), dtype=np.int64)
+        counts[name][bucket[lang == c]] = n[lang == c]
+    return fitted(counts, settings)
 
 
 def identify_languages(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, and ``with_spans`` spans as an array of (lang, first, end) in words.
 
-    Null texts and texts without a letter get "und" and score 0. Without any training row every text does. Null
-    languages are not learned from; a null id counts as held out. Repeated rows get repeated results. Other
-    columns are ignored; an empty table gives no rows.
+    Null texts and texts without a letter get "und" and score 0. Without any training row every text does. Very long
+    texts are scored whole, in blocks. Null languages are not learned from; a null id counts as held out. Of
+    languages with equally many letters the first by name counts. Repeated rows get repeated results. Other
+    columns are ignored; an empty table gives no rows. More than ``most_languages`` languages raise a ValueError.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = train(*training_rows(named, settings), settings)
+    model = trained(named, settings)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,17 +76,33 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
             pass
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, reread, with its path.
+def written(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, reread, with its path; ``codec`` "zstd" makes tables of texts small.
 
     It cuts the lineage and survives the loss of any executor.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Written tables of one computation, all removed together once its result is written."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = written(df, name)
+        self._paths.append((df.sparkSession, path))
+        return table
+
+    def clear(self) -> None:
+        while self._paths:
+            remove(*self._paths.pop())
+
+
 def word_array(text: str) -> str:
     """SQL for the words of the string expression ``text``: the runs without white space."""
     trimmed = f"trim(BOTH {SPACE_SQL} FROM coalesce({text}, ''))"
@@ -108,21 +125,22 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[quoted(c) for c in df.columns])
 
 
-def few_by_hash(df: DataFrame, most: int, group: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """A bounded sample: of each group the ``most`` rows whose ids have the smallest hashes.
+def few_by_hash(df: DataFrame, most: int, group: str | None = None, most_groups: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """A bounded sample of the distinct rows of df(id, group): of each group the ``most`` ids with the smallest hashes.
 
-    The groups are counted, and a threshold on the hash first leaves about twice ``most`` rows of each, so that
-    ranking them takes no more, however large a group is.
+    The groups, none of them null and at most ``most_groups``, are counted. A threshold on the hash, a filter in the
+    scan's own stage, leaves about twice ``most`` rows of each, so that only those are shuffled and ranked, however
+    large a group is.
     """
     keys = [group] if group else []
-    hashed = df.withColumn("__hash", F.xxhash64(id_col))
-    if group:
-        joined = hashed.join(df.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")), group)
-    else:
-        joined = hashed.withColumn("__rows", F.lit(df.count()))
-    near = joined.where(F.shiftrightunsigned("__hash", 11) * F.lit(2.0**-53) * F.col("__rows") < F.lit(2.0 * most))
-    ranked = Window.partitionBy(*keys).orderBy("__hash", id_col, *[c for c in df.columns if c not in (*keys, id_col)])
-    return near.withColumn("__nth", F.row_number().over(ranked)).where(F.col("__nth") <= most).drop("__hash", "__rows", "__nth")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).limit(most_groups + 1).collect()
+    if len(sizes) > most_groups:
+        raise ValueError(f"more than {most_groups} values of {group}: a sample of each has no bound")
+    place = F.shiftrightunsigned(F.xxhash64(id_col), 11) * F.lit(2.0**-53)
+    limits = [(F.col(group) == F.lit(r[0]) if group else F.lit(True), 2.0 * most / max(r["n"], 1)) for r in sizes]
+    near = df.where(reduce(lambda a, b: a | b, [which & (place < F.lit(limit)) for which, limit in limits], F.lit(False))).distinct()
+    ranked = Window.partitionBy(*keys).orderBy(F.xxhash64(id_col), id_col, *[c for c in df.columns if c not in (*keys, id_col)])
+    return near.withColumn("__nth", F.row_number().over(ranked)).where(F.col("__nth") <= most).drop("__nth")
 
 
 def fold_of(doc_id: str = "doc_id") -> Column:

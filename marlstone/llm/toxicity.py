@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.grams import Grams, byte_classes, per_text
-from marlstone.llm.shared import few_by_hash, held_out, lowered
+from marlstone.llm.shared import few_by_hash, held_out, lowered, written
 from marlstone.shipping import ship
 
 _CLASSES = byte_classes(digits=True)
@@ -30,9 +30,10 @@ _CLASSES = byte_classes(digits=True)
 class Settings:
     """Production parameters."""
 
-    #: The training sample: at most so many documents of each label, and code points of each.
+    #: The training sample: at most so many documents of each label, and code points of all of them; of documents in
+    #: the order of their ids' hashes each that still fits is taken, whole.
     per_label: int = 2000
-    most_chars: int = 8000
+    most_chars: int = 8 << 20
     sizes: tuple[int, ...] = (3, 4, 5, 6)
     bits: int = 18
     width: int = 8
@@ -159,19 +160,28 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[bytes], list[int]]:
-    """The bounded sample: labelled documents outside the held-out fold, by a hash of their id; labels of one id are averaged."""
+    """The bounded sample: labelled documents outside the held-out fold, by a hash of their id; labels of one id are averaged.
+
+    Of several texts under one id the first in order is learned from.
+    """
     marked = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     # At most twice per_label ids: a proven bound.
-    wanted = F.broadcast(few_by_hash(marked, settings.per_label, "y"))
-    found = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, settings.most_chars).alias("text")).join(wanted, "doc_id")
-    rows = found.orderBy("doc_id", "text").limit(2 * settings.per_label).toArrow()
+    wanted = F.broadcast(few_by_hash(marked, settings.per_label, "y", 2))
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    found, _ = written(found, "toxicity-sample")
+    chosen, chars = [], [0, 0]
+    for doc_id, y, n in found.select("doc_id", "y", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if chars[y] + n <= settings.most_chars:
+            chars[y] += n
+            chosen.append(doc_id)
+    rows = found.where(F.col("doc_id").isin(chosen)).orderBy("doc_id").toArrow()
     return lowered(rows["text"].combine_chunks()), rows["y"].to_pylist()
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (higher: likelier toxic), predicted (1 from 0.5 on).
 
-    Null texts and texts without words have a worst window of 0. Where the sample lacks one of the labels, every
+    Null texts and texts without words have a worst window of 0; very long texts are scored whole, in blocks. Where the sample lacks one of the labels, every
     score is the share of toxic ones, kept off 0 and 1. Null labels are not learned from; a null id counts as
     held out. Repeated rows get repeated results. Other columns are ignored; an empty table gives no rows.
     """

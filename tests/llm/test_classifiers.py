@@ -37,7 +37,7 @@ def test_language_held_out(docs):
 
 
 def test_language_of_mixed_texts(docs):
-    model = language_id.train(*language_id.training_rows(docs, language_id.Settings()))
+    model = language_id.trained(docs, language_id.Settings())
     texts = {}
     for r in docs.where("n_chars between 400 and 900").orderBy("doc_id").limit(200).collect():
         words = language_id.score_words(model, [r["text"].lower().encode()])[0]
