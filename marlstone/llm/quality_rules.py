@@ -63,9 +63,16 @@ class Rules:
     steps: int = 3  # concentration steps
     min_group: int = 16  # rows that an estimate needs
     reweight: float = 0.975  # chi-squared quantile of the rows that the final estimate rests on
-    cutoff: float = 60.0  # squared distance beyond which a row is rejected
+    #: Share of normal rows beyond the distance from which a row is rejected. Statistics of prose have longer tails
+    #: than normal ones, so it is tiny; the squared distance is 60 for five statistics.
+    beyond: float = 1.1e-11
     pooled: bool = False  # whether smaller groups are judged by their language's estimate, or that of all rows
 
+    @property
+    def cutoff(self) -> float:
+        """Squared distance beyond which a row is rejected."""
+        return chi2_quantile(1 - self.beyond, len(self.statistics))
+
 
 #: What the registered query and the pipeline use.
 POOLED = Rules(pooled=True)
@@ -221,7 +228,7 @@ def _first_distances(vectors: DataFrame, p: int, tolerances: Sequence[float]) ->
         *[F.max(F.when(F.col("dim") == i, (F.col("med") + 0.5) * CELL)).alias(f"m{i}") for i in range(p)],
         *[F.max(F.when(F.col("dim") == i, F.pow(1.4826 * CELL * F.col("mad"), F.lit(2)) + (tolerances[i] * UNIT) ** 2)).alias(f"v{i}") for i in range(p)],
     )
-    wide, _ = written(wide.repartition(1), "mcd-medians")
+    wide, _ = written(wide, "mcd-medians")
     off = [F.pow(F.col(f"z{i}") - F.col(f"m{i}"), F.lit(2)) / F.col(f"v{i}") for i in range(p)]
     starts = F.explode(F.array(F.struct(F.lit(0).alias("start"), sum(off, F.lit(0.0)).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*off).alias("d2"))))
     return _with_groups(vectors, wide).select(*_POOL, *_z(p), starts.alias("__s")).select(*_POOL, *_z(p), "__s.start", "__s.d2")
@@ -236,14 +243,14 @@ def covariance_estimates(vectors: DataFrame, rules: Rules) -> DataFrame:
     keep, factor = [*_POOL, "start"], consistency(rules.support, p)
     measured = _first_distances(fitted, p, tolerances)
     for step in range(rules.steps + 1):
-        estimates, _ = written(_estimate(_concentrate(measured, p, rules.support), keep, tolerances, factor).repartition(1), f"mcd-{step}")
+        estimates, _ = written(_estimate(_concentrate(measured, p, rules.support), keep, tolerances, factor), f"mcd-{step}")
         if step < rules.steps:
             measured = _distance(_with_groups(fitted, estimates), p, [*keep, *_z(p)])
     best = Window.partitionBy(*_POOL).orderBy("log_det", "start")
     raw = estimates.withColumn("__nth", F.row_number().over(best)).where("__nth = 1").drop("__nth", "start", "log_det")
     near = _distance(_with_groups(fitted, raw), p, [*_POOL, *_z(p)]).where(F.col("d2") <= chi2_quantile(rules.reweight, p))
     final = _estimate(near.groupBy(*_POOL).agg(*_moments(p)), _POOL, tolerances, consistency(rules.reweight, p))
-    return written(final.repartition(1), "mcd-final")[0]
+    return written(final, "mcd-final")[0]
 
 
 def with_vectors(stats: DataFrame, rules: Rules) -> DataFrame:
@@ -265,7 +272,7 @@ def _judged(stats: DataFrame, estimates: DataFrame, rules: Rules, keep: Sequence
 def _fit(stats: DataFrame, rules: Rules) -> DataFrame:
     """One row for each (lang, source) that can be judged: the estimate of its own rows, else of its language's, else of all."""
     z = _z(len(rules.statistics))
-    vectors = with_vectors(stats.where(~F.col("base_failed")), rules).select(*_GROUP, *z)
+    vectors, _ = written(with_vectors(stats.where(~F.col("base_failed")), rules).select(*_GROUP, *z), "mcd-vectors")
     if not rules.pooled:
         return covariance_estimates(vectors.select(F.lit(0).alias("level"), *_GROUP, *z), rules).drop("level")
     sizes, _ = written(vectors.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")), "quality-sizes")
@@ -293,8 +300,8 @@ def quality_rules(docs: DataFrame, rules: Rules = POOLED, id_col: str = "doc_id"
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     distance2 and kept.
 
-    Null texts count as empty and so fail the base rules. A null language or source is a group of its own.
-    Repeated rows and ids are judged each for itself. A group with fewer than ``min_group`` rows that pass the
+    Null texts count as empty and so fail the base rules; very long texts are read whole. A null language or source
+    is a group of its own. Repeated rows and ids are judged each for itself. A distance at the cutoff stays. A group with fewer than ``min_group`` rows that pass the
     base rules is judged by the estimate of its language's rows, or of all where these are fewer too; where all are,
     distances are null and the rows kept, as in every small group of rules that are not ``pooled``. Other columns are ignored; an empty table gives no rows.
     """
@@ -306,9 +313,11 @@ def quality_rules(docs: DataFrame, rules: Rules = POOLED, id_col: str = "doc_id"
 def drop_low_quality(docs: DataFrame, rules: Rules = POOLED) -> DataFrame:
     """docs(doc_id, text, lang, source, ...) without the rows that the rules reject; every column as it was.
 
-    The statistics are computed once to fit and once to filter, so no text is shuffled.
+    The verdicts are those of quality_rules: null, empty and short texts go, as do those that repeat themselves; rows
+    with null ids, and repeated rows, are judged each for itself; very long texts are read whole; an empty table
+    gives no rows. The rows are written with their statistics once, which the estimates read and the filter
+    reads again, so no text is shuffled and none is counted twice.
     """
-    stats, _ = written(text_statistics(docs, rules, keep=_GROUP), "quality-statistics")
-    estimates = _fit(stats, rules)
-    again = text_statistics(docs.select("text", *_GROUP, whole_row(docs).alias("__row")), rules, keep=(*_GROUP, "__row"))
-    return _judged(again, estimates, rules, ["__row"]).where("kept").select("__row.*")
+    rows = docs.select("text", *_GROUP, whole_row(docs).alias("__row"))
+    stats, _ = written(text_statistics(rows, rules, keep=(*_GROUP, "__row")), "quality-statistics", "zstd")
+    return _judged(stats, _fit(stats.drop("__row"), rules), rules, ["__row"]).where("kept").select("__row.*")
