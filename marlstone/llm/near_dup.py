@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import quoted, remove, whole_row, written
+from marlstone.llm.shared import Scratch, quoted, remove, whole_row, written
 from marlstone.shipping import ship
 
 #: Shingles whose bits are counted at once.
@@ -58,20 +58,31 @@ class Similar:
     """Two sets of shingles link when at least ``share`` (a numerator and a denominator) of their union is in both.
 
     A pair of similarity J shares one of the bands but with probability (1 - J ** rows) ** bands: 5 in a million at
-    0.8, less above. One bit of each of 128 minima is verified in the join; a pair of 0.8 passes but for 1 in a million.
+    0.8, less above. Sets differ in at most (1 - share) / (1 + share) of the sum of their sizes, and their parities in
+    no more bits than that: ``parities`` bits, each the parity of the shingles that fall to it, are compared in the
+    join. For large sets the bound is what so many differences give by chance, and ``sigmas`` deviations above it.
     """
 
     shingle: int = 5
     share: tuple[int, int] = (4, 5)
     bands: int = 40
     rows: int = 6
-    most_bits: int = 33
+    parities: int = 1024
+    sigmas: float = 6.0
+    #: Bits of the filter that tells which sets verification needs; an eighth of them is broadcast, in bytes.
+    filter_bits: int = 24
     seed: int = 42
 
+    @property
+    def sketch(self) -> list[str]:
+        """Columns with the size of the set and with the parities, 64 to a column."""
+        return ["size", *[f"s{k}" for k in range(self.parities // 64)]]
+
 
 #: What the pipeline links: five-word shingles and a similarity of 0.8 or more.
 SIMILAR = Similar()
 
+
 def _shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
     """XXH64 of all word shingles, repeats included, in blocks; nothing without words.
 
@@ -125,29 +136,28 @@ def minima(shingles: np.ndarray, rule: Similar) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, f0 (a hash of the whole set), slots (its bands), s0 and s1 (bits of its minima), shingles (the set) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["doc_id", "f0", "slots", "s0", "s1", "shingles"]
+    """doc_id, f0 (a hash of the whole set), slots (its bands), the sketch's columns, shingles (the set) of every row."""
+    rows, sketch = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rule.sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _few_rows(whole)):
             n, sets = batch.num_rows, []
-            node, slots, bits = np.zeros(n, "<u8"), np.zeros((n, rule.bands), "<u8"), np.zeros((n, 2), "<u8")
+            node, slots, bits = np.zeros(n, "<u8"), np.zeros((n, rule.bands), "<u8"), np.zeros((len(sketch), n), "<u8")
             for i, text in enumerate(batch.column(1)):
                 sets.append(np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingle_hashes(text.as_py(), rule.shingle, rule.seed)])))
                 least = minima(sets[-1], rule)
                 node[i] = xxhash.xxh64_intdigest(sets[-1].tobytes(), rule.seed)
                 slots[i] = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(rule.bands, rule.rows))]
-                mixed = (least[:128] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-                bits[i] = np.packbits(mixed.astype(np.uint8), bitorder="little").view("<u8")
-            longs = [pa.array(c.view(np.int64)) for c in (node, slots.ravel(), bits[:, 0].copy(), bits[:, 1].copy(), np.concatenate([np.zeros(0, "<u8"), *sets]))]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * rule.bands), longs[1])
-            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], bands, longs[2], longs[3], pa.ListArray.from_arrays(ends, longs[4])], names=names)
+                odd = np.bincount((sets[-1] % np.uint64(rule.parities)).astype(np.int64), minlength=rule.parities) & 1
+                bits[0, i], bits[1:, i] = len(sets[-1]), np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * rule.bands), pa.array(slots.ravel().view(np.int64)))
+            ends, flat = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), np.concatenate([np.zeros(0, "<u8"), *sets])
+            columns = [batch.column(0), pa.array(node.view(np.int64)), bands, *[pa.array(b.view(np.int64)) for b in bits], pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "f0", "slots", *sketch, "shingles"])
 
     ship(docs.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, f0 bigint, slots array<bigint>, s0 bigint, s1 bigint, shingles array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, f0 bigint, slots array<bigint>, " + "".join(f"{c} bigint, " for c in sketch) + "shingles array<bigint>")
 
 
 def _few_rows(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
@@ -246,30 +256,52 @@ def simhash_groups(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "do
     nothing in component_id, which is null only where a whole component has no id. Repeated rows are in one
     component. Other columns are ignored; an empty table gives no rows.
     """
-    rows, _ = written(fingerprints(docs, rule, id_col, text_col), "simhash-rows")
-    nodes, _ = written(rows.groupBy("f0").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    tables = Scratch()
+    rows = tables.written(fingerprints(docs, rule, id_col, text_col), "simhash-rows")
+    nodes = tables.written(rows.groupBy("f0").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     cut = _segments(rule.segments or (3 if nodes.count() <= rule.three_segments_upto else 2))
     parts = nodes.withColumn("part", F.col("f0"))
     for leaders_only in (True, False):
-        parts = _merged(parts, probe_links(parts.select("f0", "part"), rule, cut, leaders_only))
-    ids, _ = written(parts.groupBy("part").agg(F.min("first").alias("component_id")), "simhash-ids")
-    placed, _ = written(parts.select("f0", "part").join(ids, "part").select("f0", "component_id"), "simhash-components")
-    return rows.join(placed, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+        parts = _merged(parts, probe_links(parts.select("f0", "part"), rule, cut, leaders_only), tables)
+    shape = ["doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id"]
+    return _placed(rows, parts, tables, shape)
 
 
-def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, parts: DataFrame, tables: Scratch, shape: list) -> DataFrame:
+    """rows(doc_id, f0) with component_id, the smallest id of their part, written; the other tables go."""
+    ids = tables.written(parts.groupBy("part").agg(F.min("first").alias("component_id")), "near-ids")
+    found = tables.written(parts.select("f0", "part").join(ids, "part").select("f0", "component_id"), "near-components")
+    out, _ = written(rows.select("doc_id", "f0").join(found, "f0").select(*shape), "near-groups")
+    tables.clear()
+    return out
+
+
+def _merged(parts: DataFrame, links: DataFrame, tables: Scratch) -> DataFrame:
     """parts(f0, part, ...) with the parts of linked nodes made one."""
     of = parts.select("f0", "part")
     bridges = links.join(of.toDF("a", "pa"), "a").join(of.toDF("b", "pb"), "b").select(*_link("pa", "pb"))
     roots = components(bridges)
-    return written(_rooted(parts, "part", roots, "root").drop("part").withColumnRenamed("root", "part"), "simhash-parts")[0]
+    return tables.written(_rooted(parts, "part", roots, "root").drop("part").withColumnRenamed("root", "part"), "near-parts")
+
 
+def _likely(rows: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """Rows whose f0 may be among wanted(f0): all that are, and few others.
 
-def _verified(pairs: DataFrame, rows: DataFrame, rule: Similar) -> DataFrame:
+    A Bloom filter of one hash and 2 ** bits bits, in bitmaps of 4096 bytes: that bounds its broadcast, however
+    many nodes there are. The fuller it is the more rows pass, which the joins that follow drop.
+    """
+    place = f"pmod(xxhash64(f0), {1 << bits}) + 1"
+    maps = wanted.groupBy(F.expr(f"bitmap_bucket_number({place})").alias("__map")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({place}))").alias("__bits"))
+    met = rows.join(F.broadcast(maps), F.expr(f"bitmap_bucket_number({place}) = __map"))
+    at = f"cast(bitmap_bit_position({place}) as int)"
+    return met.where(f"getbit(cast(conv(hex(substring(__bits, {at} div 8 + 1, 1)), 16, 10) as int), {at} % 8) = 1").drop("__map", "__bits")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, rule: Similar, tables: Scratch) -> DataFrame:
     """Those of pairs(a, b) whose whole sets of shingles, in rows(f0, shingles), are similar; each with a > b."""
     pairs, path = written(pairs, "similar-pairs")
-    wanted = pairs.select(F.col("a").alias("f0")).unionByName(pairs.select(F.col("b").alias("f0"))).distinct()
-    sets = rows.select("f0", "shingles").join(wanted, "f0", "left_semi").groupBy("f0").agg(F.first("shingles").alias("shingles"))
+    wanted = pairs.select(F.col("a").alias("f0")).unionByName(pairs.select(F.col("b").alias("f0")))
+    sets = _likely(rows.select("f0", "shingles"), wanted, rule.filter_bits).groupBy("f0").agg(F.first("shingles").alias("shingles"))
     sets, sets_path = written(sets, "similar-sets")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("f0").alias(side), F.col("shingles").alias(f"{side}_set")), side)
@@ -277,12 +309,22 @@ def _verified(pairs: DataFrame, rows: DataFrame, rule: Similar) -> DataFrame:
     of, whole = rule.share
     # Shared against the union: both / (a + b - both) >= of / whole.
     links = pairs.where(both * (of + whole) >= (F.size("a_set").cast("bigint") + F.size("b_set")) * of).select(*_link("a", "b"))
-    links, _ = written(links, "similar-links")
+    links = tables.written(links, "similar-links")
     for done in (path, sets_path):
         remove(rows.sparkSession, done)
     return links
 
 
+def _may_link(rule: Similar) -> Column:
+    """Whether sets can be similar by their sketches, in columns size, s0 and on, and with b_ before their names."""
+    of, whole = rule.share
+    sizes, m = F.col("size") + F.col("b_size"), float(rule.parities)
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in rule.sketch[1:]), F.lit(0))
+    mean = (1 - F.exp(sizes * (-2.0 * (whole - of) / (whole + of) / m))) * (m / 2)
+    by_chance = mean + rule.sigmas * F.sqrt(mean * (1 - mean / m))
+    return differ <= F.least(sizes * (whole - of) / (whole + of), F.ceil(by_chance))
+
+
 def similar_groups(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id and component_id (smallest id reachable by links of similar sets of shingles).
 
@@ -291,32 +333,32 @@ def similar_groups(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_
     nothing in component_id, which is null only where a whole component has no id. Other columns are ignored; an
     empty table gives no rows.
     """
-    rows, _ = written(shingle_sets(docs, rule, id_col, text_col), "similar-rows")
-    nodes = rows.groupBy("f0").agg(F.min("doc_id").alias("first"), F.first("slots").alias("slots"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-    nodes, _ = written(nodes, "similar-nodes")
-    entries = nodes.select("f0", "s0", "s1", F.explode("slots").alias("slot"))
-    shared = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries, _ = written(entries.join(shared, "slot"), "similar-entries")
-    fullness = entries.groupBy("f0").agg(F.sum("n").alias("full"))
-    ranked = entries.join(fullness, "f0").groupBy("slot").agg(F.max(F.struct("full", "f0", "s0", "s1")).alias("l"))
-    leaders, _ = written(ranked.select("slot", F.col("l.full").alias("b_full"), *[F.col(f"l.{c}").alias(f"b_{c}") for c in ("f0", "s0", "s1")]), "similar-leaders")
-    near = _distance([F.col("s0"), F.col("s1")], [F.col("b_s0"), F.col("b_s1")]) <= rule.most_bits
+    tables, sketch = Scratch(), rule.sketch
+    rows = tables.written(shingle_sets(docs, rule, id_col, text_col), "similar-rows")
+    nodes = rows.groupBy("f0").agg(F.min("doc_id").alias("first"), F.first("slots").alias("slots"), *[F.first(c).alias(c) for c in sketch])
+    nodes = tables.written(nodes, "similar-nodes")
+    each = nodes.select("f0", F.explode("slots").alias("slot"))
+    shared = each.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = tables.written(each.join(shared, "slot"), "similar-slots")
+    full = shared.groupBy("f0").agg(F.sum("n").alias("full")).join(nodes.select("f0", *sketch), "f0")
+    entries = tables.written(shared.select("f0", "slot").join(full, "f0"), "similar-entries")
+    ranked = entries.groupBy("slot").agg(F.max(F.struct("full", "f0", *sketch)).alias("l"))
+    leaders = tables.written(ranked.select("slot", *[F.col(f"l.{c}").alias(f"b_{c}") for c in ("full", "f0", *sketch)]), "similar-leaders")
+    near = _may_link(rule)
     met = entries.join(leaders, "slot").where((F.col("f0") != F.col("b_f0")) & near).groupBy("f0").agg(F.collect_set(F.struct("b_full", "b_f0")).alias("l"))
     # Of a node's leaders, at most one for each band, the three fullest: they merge what the other join need not compare.
     first = met.select(F.col("f0").alias("a"), F.explode(F.slice(F.sort_array("l", asc=False), 1, 3)).alias("l")).select("a", F.col("l.b_f0").alias("b"))
-    parts = _merged(nodes.select("f0", "first", F.col("f0").alias("part")), _verified(first, rows, rule))
+    parts = _merged(nodes.select("f0", "first", F.col("f0").alias("part")), _verified(first, rows, rule, tables), tables)
     # A link between parts has an end outside the part of its slot's leader.
     placed = entries.join(parts.select("f0", "part"), "f0")
     led = leaders.select("slot", F.col("b_f0").alias("f0")).join(parts.select("f0", F.col("part").alias("lead")), "f0").drop("f0")
-    placed, _ = written(placed.join(led, "slot"), "similar-placed")
-    left = placed.where("part != lead").select("slot", "lead", "f0", "s0", "s1", "part")
-    right = placed.select("slot", *[F.col(c).alias(f"b_{c}") for c in ("f0", "s0", "s1", "part")])
+    placed = tables.written(placed.join(led, "slot"), "similar-placed")
+    left = placed.where("part != lead").select("slot", "lead", "f0", *sketch, "part")
+    right = placed.select("slot", *[F.col(c).alias(f"b_{c}") for c in ("f0", *sketch, "part")])
     once = (F.col("b_part") == F.col("lead")) | (F.col("f0") > F.col("b_f0"))
     rest = left.join(right, "slot").where((F.col("part") != F.col("b_part")) & once & near).select(*_link("f0", "b_f0")).distinct()
-    parts = _merged(parts, _verified(rest, rows, rule))
-    ids, _ = written(parts.groupBy("part").agg(F.min("first").alias("component_id")), "similar-ids")
-    found, _ = written(parts.select("f0", "part").join(ids, "part").select("f0", "component_id"), "similar-components")
-    return rows.select("doc_id", "f0").join(found, "f0").select("doc_id", "component_id")
+    parts = _merged(parts, _verified(rest, rows, rule, tables), tables)
+    return _placed(rows, parts, tables, ["doc_id", "component_id"])
 
 
 def drop_near_copies(docs: DataFrame, rule: SimHash | Similar = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
