@@ -51,7 +51,9 @@ class Grams:
                 hashed = hashed + wide[k : k + upto] * np.uint32(power)
                 power = power * _MULTIPLIER & 0xFFFFFFFF
             done = n
-            at = np.flatnonzero(letter[1 : upto + 1] & (space[1 : upto + 1] >= np.arange(n - 1, upto + n - 1)))
+            # Pairs begin at the last letter too; longer n-grams reach past the space after it.
+            begun = letter[1 : upto + 1] if n > 2 else letter[1 : upto + 1] | letter[:upto]
+            at = np.flatnonzero(begun & (space[1 : upto + 1] >= np.arange(n - 1, upto + n - 1)))
             self.words.append(number[at + 1])
             self.buckets.append(((hashed[at] + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * _SPREAD >> np.uint32(32 - bits)).astype(np.int32))
         if whole_words and self.n_words:

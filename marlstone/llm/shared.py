@@ -129,7 +129,7 @@ def few_by_hash(df: DataFrame, most: int, group: str | None = None, most_groups:
     """A bounded sample of the distinct rows of df(id, group): of each group the ``most`` ids with the smallest hashes.
 
     The groups, none of them null and at most ``most_groups``, are counted. A threshold on the hash, a filter in the
-    scan's own stage, leaves about twice ``most`` rows of each, so that only those are shuffled and ranked, however
+    scan's own stage, leaves about four times ``most`` rows of each (fewer where rows repeat), so that only those are shuffled and ranked, however
     large a group is.
     """
     keys = [group] if group else []
@@ -137,7 +137,7 @@ def few_by_hash(df: DataFrame, most: int, group: str | None = None, most_groups:
     if len(sizes) > most_groups:
         raise ValueError(f"more than {most_groups} values of {group}: a sample of each has no bound")
     place = F.shiftrightunsigned(F.xxhash64(id_col), 11) * F.lit(2.0**-53)
-    limits = [(F.col(group) == F.lit(r[0]) if group else F.lit(True), 2.0 * most / max(r["n"], 1)) for r in sizes]
+    limits = [(F.col(group) == F.lit(r[0]) if group else F.lit(True), 4.0 * most / max(r["n"], 1)) for r in sizes]
     near = df.where(reduce(lambda a, b: a | b, [which & (place < F.lit(limit)) for which, limit in limits], F.lit(False))).distinct()
     ranked = Window.partitionBy(*keys).orderBy(F.xxhash64(id_col), id_col, *[c for c in df.columns if c not in (*keys, id_col)])
     return near.withColumn("__nth", F.row_number().over(ranked)).where(F.col("__nth") <= most).drop("__nth")

@@ -143,14 +143,14 @@ def test_empty(spark, marks):
 
 def test_grams_against_plain_python():
     raw = "The café's naïve 漢字, ok a bb".lower().encode()
-    block = grams.Grams(raw, (3, 4), 16, grams.byte_classes(digits=True), whole_words=True)
+    block = grams.Grams(raw, (2, 3, 4), 16, grams.byte_classes(digits=True), whole_words=True)
     clean = bytes(grams.byte_classes(digits=True)[np.frombuffer(raw, np.uint8)])
     words = clean.split()
     assert [clean[a - 1 : b - 1] for a, b in zip(block.starts, block.ends)] == words
     wanted = []
     for w in words:
         padded = b" " + w + b" "
-        wanted.append(sum(max(0, len(padded) - n + 1) for n in (3, 4)) + 1)
+        wanted.append(sum(max(0, len(padded) - n + 1) for n in (2, 3, 4)) + 1)
     assert block.counts().tolist() == wanted
     same = grams.Grams(b"ab  ab", (3,), 16, grams.byte_classes(digits=False))
     assert same.buckets[0][:2].tolist() == same.buckets[0][2:].tolist() and len(set(same.buckets[0].tolist())) == 2
