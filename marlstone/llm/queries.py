@@ -16,6 +16,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_quality_rules that SQL can express: counts of whole texts, and the base rules."""
+    counted = quality_rules.text_statistics(documents(spark, sf_dir), quality_rules.POOLED, keep=["doc_id"])
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op2_token_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_mix.mix_sources(documents(spark, sf_dir))
 
@@ -56,6 +62,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+BASE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT r, i, list_slice(ws, i, i + 4) AS five FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)
+), p AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS times FROM w) WHERE times > 1
+), c AS (
+  SELECT r, CAST(sum(least(5, coalesce(next - i, 5))) AS BIGINT) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM p) GROUP BY r
+), l AS (
+  SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), s AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM d JOIN l USING (r) LEFT JOIN c USING (r)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s
+"""
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents
@@ -96,10 +122,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_warc,
             op9_simhash_near_dup,
             op10_toxicity,
+            quality_base_rules,
             pipeline,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_mix": token_mix.duckdb_sql(), "op3_license_scan": license_scan.duckdb_sql(), "op4_exact_dedup": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"quality_base_rules": BASE_SQL, "op2_token_mix": token_mix.duckdb_sql(), "op3_license_scan": license_scan.duckdb_sql(), "op4_exact_dedup": OP4_SQL, "op8_warc": OP8_SQL}
