@@ -9,7 +9,8 @@ Conditions that cannot fail are left bare, so Catalyst can push them to the scan
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, SparkSession
@@ -21,17 +22,22 @@ from marlstone.problems import MARK, Errors, Problem
 from marlstone.types import Kind
 
 ANSI = "spark.sql.ansi.enabled"
+_PLANNING = threading.RLock()
 
 
 @contextmanager
 def wrapping_integers(spark: SparkSession) -> Iterator[None]:
-    """ANSI mode is off for columns that are built inside; they keep it, and the session gets its setting back."""
-    before = spark.conf.get(ANSI)
-    spark.conf.set(ANSI, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(ANSI, before)
+    """ANSI mode is off for columns that are built inside; they keep it, and the session gets its setting back.
+
+    Threads that build such columns wait for each other, so none restores another's setting.
+    """
+    with _PLANNING:
+        before = spark.conf.get(ANSI)
+        spark.conf.set(ANSI, "false")
+        try:
+            yield
+        finally:
+            spark.conf.set(ANSI, before)
 
 
 def quoted(name: str) -> str:
@@ -66,6 +72,21 @@ _OPERATORS = {
 }
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    return F.when(b == 0, _division_by_zero(a, b).cast("bigint")).otherwise(F.call_function("div", a, b))
+
+
+def _divides(e: Expression) -> bool:
+    match e:
+        case Function(_, arguments):
+            return any(map(_divides, arguments))
+        case Unary(_, operand):
+            return _divides(operand)
+        case Binary(operator, left, right):
+            return operator == "DIVIDE" or _divides(left) or _divides(right)
+    return False
+
+
 class Compiler:
     """strict: comparisons by order are of integers alone, and of other kinds fail once a row is evaluated."""
 
@@ -85,12 +106,22 @@ class Compiler:
             case Unary(_, operand):
                 return -self.value(operand)
             case Binary("DIVIDE", left, right):
-                a, b = self.value(left), self.value(right)
-                return F.when(b == 0, _division_by_zero(a, b).cast("bigint")).otherwise(F.call_function("div", a, b))
+                return self._bound(left, right, _quotient)
             case Binary(operator, left, right):
                 return _OPERATORS[operator](self.value(left), self.value(right))
         raise TypeError(f"not an expression: {e!r}")
 
+    def _bound(self, left: Expression, right: Expression, use: Callable[[Column, Column], Column]) -> Column:
+        """``use`` of both values, which it names several times; where one divides, both are evaluated once and named.
+
+        So the columns of nested divisions grow with their depth and not as a power of it. Others stay as they are,
+        within generated code.
+        """
+        a, b = self.value(left), self.value(right)
+        if not (_divides(left) or _divides(right)):
+            return use(a, b)
+        return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: use(x["a"], x["b"]))[0]
+
     def checks(self, e: Expression) -> list[Column]:
         """Columns that are true, or fail where evaluating ``e`` fails, operands first."""
         match e:
@@ -101,8 +132,7 @@ class Compiler:
             case Binary(operator, left, right):
                 out = self.checks(left) + self.checks(right)
                 if operator == "DIVIDE":
-                    a, b = self.value(left), self.value(right)
-                    out.append(F.when(b == 0, _division_by_zero(a, b).cast("boolean")).otherwise(F.lit(True)))
+                    out.append(self._bound(left, right, lambda a, b: F.when(b == 0, _division_by_zero(a, b).cast("boolean")).otherwise(F.lit(True))))
                 elif operator in ORDERING and self.strict and self.kind_of(left) is not Kind.INT64:
                     out.append(_fail_with(Problem(Errors.UNIMPLEMENTED, f"{operator} of {self.kind_of(left).value}")).cast("boolean"))
                 return out

@@ -63,6 +63,8 @@ class Settings:
     chunk_bytes: int = CHUNK_BYTES
     strict: bool = True
     copy_scatter: bool = False
+    #: Whether quoted fields of CSV files may have line breaks; without them large files are split among tasks.
+    copy_multi_line: bool = True
 
     @classmethod
     def from_environment(cls, environment=os.environ) -> "Settings":
@@ -215,5 +217,5 @@ class Service:
         if table is None:
             raise ProblemsError(Problem(Errors.DESTINATION_TABLE, query.destination_table_name))
         task.status = Status.RUNNING
-        rows = read_rows(self.spark, path, table.columns, query.has_header, query.destination_columns, self.settings.copy_scatter)
+        rows = read_rows(self.spark, path, table.columns, query.has_header, query.destination_columns, self.settings.copy_scatter, self.settings.copy_multi_line)
         self.catalog.append(table.id, rows)

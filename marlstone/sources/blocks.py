@@ -22,13 +22,12 @@ def _checked(block_size: int) -> int:
 
 
 def blocks(spark: SparkSession, path: str, block_size: int) -> DataFrame:
-    """path, block (from 0) and data of each block of the files; the last one filled up with zero bytes."""
-    files = spark.read.format("binaryFile").load(path)
-    count = F.ceil(F.col("length") / F.lit(_checked(block_size))).cast("bigint")
-    number = F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)))
-    parts = files.select("path", "content", number.alias("block"))
-    data = F.substring(F.col("content"), (F.col("block") * block_size + 1).cast("int"), F.lit(block_size))
-    return parts.select("path", "block", F.rpad(data, block_size, F.lit(b"\0")).alias("data"))
+    """path, block (from 0) and data of each block of the files, of up to 2 GB each; the last one filled up with zero bytes."""
+    count = F.ceil(F.col("length") / F.lit(_checked(block_size))).cast("int")
+    # The blocks are cut before they become rows, so that no row but the file's own carries its content.
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.rpad(F.substring(F.col("content"), i * block_size + 1, F.lit(block_size)), block_size, F.lit(b"\0")))
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    return files.select("path", F.posexplode(cut).alias("block", "data")).withColumn("block", F.col("block").cast("bigint"))
 
 
 def checksums(spark: SparkSession, path: str, block_size: int) -> DataFrame:

@@ -63,17 +63,19 @@ def parse_int64(value: Column) -> Column:
     return F.coalesce(out, _fail(told).cast("bigint"))
 
 
-def read_rows(spark: SparkSession, path: str, columns: Sequence[ColumnDef], has_header: bool = False, destinations: Sequence[str] | None = None, scatter: bool = False) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, columns: Sequence[ColumnDef], has_header: bool = False, destinations: Sequence[str] | None = None, scatter: bool = False, multi_line: bool = True) -> DataFrame:
     """The file's records as rows of the table's columns.
 
     Without destinations a record must have as many fields as the table has columns; with them it may have
-    more. Blanks around bare fields go, quoted ones stay; an empty field is an empty text.
+    more. Blanks around bare fields go, quoted ones stay; an empty field is an empty text. Quoted fields may have
+    line breaks, for which one task reads the whole file; without ``multi_line`` they may not, and a large file is
+    split among tasks.
     """
     places = mapping(columns, destinations, scatter)
     width = len(columns)
     schema = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(width)] + [T.StructField(BAD, T.StringType())])
     raw = spark.read.schema(schema).options(
-        mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, multiLine=True, escape='"', header=has_header, enforceSchema=True,
+        mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, multiLine=multi_line, escape='"', header=has_header, enforceSchema=True,
         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, encoding="UTF-8",
     ).csv(path)
     with wrapping_integers(spark):

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.checksum import block_order, checksum, plain
 from marlstone.operators.stats import describe
+from marlstone.plans.ast import Binary, ColumnRef, Literal
+from marlstone.plans.compile import Compiler, wrapping_integers
 from marlstone.problems import found_in
 from marlstone.sources.blocks import blocks, checksums
-from marlstone.sources.csv_copy import mapping, parse_int64
+from marlstone.sources.csv_copy import mapping, parse_int64, read_rows
 from marlstone.sources.generated import sample_rows
 from marlstone.streaming.chunks import chunks, groups, json_stream
 from marlstone.types import INT64_MAX, INT64_MIN, Kind
@@ -77,3 +79,32 @@ def test_mapping_is_a_gather():
     assert mapping(columns, None) == [0, 1, 2]
     assert mapping(columns, ["b", "c", "a"]) == [1, 2, 0]
     assert mapping(columns, ["b", "c", "a"], scatter=True) == [2, 0, 1]
+
+
+def test_nested_divisions_stay_small(spark):
+    """Twelve divisions in each other, on both sides, are planned as a chain and not as a tree of copies."""
+    table = spark.createDataFrame([(10**18,)], "a long")
+    expression, wanted = ColumnRef("t", "a"), 10**18
+    for i in range(12):
+        expression, wanted = Binary("DIVIDE", expression, Binary("ADD", Binary("DIVIDE", Literal(7), Literal(i + 2)), Literal(2))), wanted // (7 // (i + 2) + 2)
+    compiler = Compiler(lambda e: Kind.INT64)
+    with wrapping_integers(spark):
+        df = table.where(compiler.condition(Binary("GREATER_THAN", expression, Literal(0)))).select(compiler.value(expression).alias("c0"))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 100_000
+    assert df.first()[0] == wanted
+    zero = Binary("DIVIDE", Literal(1), Binary("DIVIDE", ColumnRef("t", "a"), Literal(2**62)))
+    with wrapping_integers(spark):
+        failing = table.select(compiler.value(zero))
+    with pytest.raises(Exception) as error:
+        failing.collect()
+    assert found_in(error.value)[0].error == "Division by zero" and found_in(error.value)[0].context == "1 / 0"
+
+
+def test_split_files_have_one_record_a_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"x, y"\n2,\n')
+    (tmp_path / "b.csv").write_text('k,v\n1,"x\ny"\n')
+    columns = [("k", Kind.INT64), ("v", Kind.VARCHAR)]
+    assert sorted(map(tuple, read_rows(spark, str(tmp_path / "a.csv"), columns, has_header=True, multi_line=False).collect())) == [(1, "x, y"), (2, "")]
+    assert read_rows(spark, str(tmp_path / "b.csv"), columns, has_header=True).collect()[0]["v"] == "x\ny"
+    with pytest.raises(Exception):
+        read_rows(spark, str(tmp_path / "b.csv"), columns, has_header=True, multi_line=False).collect()
