@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone import engine_queries
 from marlstone.operators.select import Planner
 from marlstone.operators.stats import byte_histogram, mean
 from marlstone.plans.ast import select_query
 from marlstone.sources.bound import BoundTables
-from marlstone.sources.csv_copy import read_rows
 from marlstone.sources.generated import sample_rows
-from marlstone.types import Kind
 
 
 def col(table: str, column: str) -> dict:
@@ -50,6 +48,9 @@ _PART, _LINE_ORDER = col("lineitem", "l_partkey"), col("lineitem", "l_orderkey")
 _DOC, _TEXT = col("documents", "doc_id"), col("documents", "text")
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Doubles of the test tables that hold whole numbers.
+WHOLE = frozenset({"l_quantity"})
+
 #: name: (query definition, DuckDB SQL)
 SELECTIONS: dict[str, tuple[dict, str]] = {
     "scan_full": (
@@ -131,6 +132,14 @@ SELECTIONS: dict[str, tuple[dict, str]] = {
         "SELECT o_orderkey c0, o_custkey c1 FROM orders ORDER BY c1 DESC, c0 ASC LIMIT 10",
     ),
     "limit_only": (select(col("nation", "n_nationkey"), limit=100), "SELECT n_nationkey::BIGINT c0 FROM nation LIMIT 100"),
+    "limit_cuts": (
+        select("x", where=op("GREATER_EQUAL", col("nation", "n_nationkey"), 0), limit=7),
+        "SELECT 'x' c0 FROM nation WHERE n_nationkey >= 0 LIMIT 7",
+    ),
+    "div_nested": (
+        select(_ORDER_KEY, op("DIVIDE", op("DIVIDE", op("DIVIDE", op("MULTIPLY", _ORDER_KEY, 1000), op("ADD", _CUSTOMER_OF, 1)), 3), op("ADD", op("DIVIDE", _ORDER_KEY, 100), 1))),
+        "SELECT o_orderkey c0, (((o_orderkey*1000)//(o_custkey+1))//3)//((o_orderkey//100)+1) c1 FROM orders",
+    ),
     "full_name": (
         select(_CUSTOMER, fn("CONCAT", fn("UPPER", _SEGMENT), fn("CONCAT", " ", _NAME)), where=op("EQUAL", _SEGMENT, "FURNITURE"), order=[(1, False), (0, True)]),
         f"SELECT c_custkey c0, concat(translate(c_mktsegment,'{_LOWER}','{_UPPER}'), concat(' ', c_name)) c1 FROM customer WHERE c_mktsegment='FURNITURE' ORDER BY c1 DESC, c0 ASC",
@@ -144,57 +153,26 @@ SELECTIONS: dict[str, tuple[dict, str]] = {
 
 def selection(definition: dict) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Planner(spark, BoundTables(spark, sf_dir)).plan(select_query(definition))
+        return Planner(spark, BoundTables(spark, sf_dir, WHOLE)).plan(select_query(definition))
 
     return run
 
 
-def _nation_csv(spark: SparkSession, sf_dir: str, *columns: str) -> str:
-    """The nation table's columns as a headed CSV file in the shared or warehouse folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/marlstone-nation-{os.getpid()}-{'-'.join(columns)}.csv"
-    spark.read.parquet(f"{sf_dir}/nation.parquet").select(*columns).write.mode("overwrite").csv(path, header=True)
-    return path
-
-
-def copy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _nation_csv(spark, sf_dir, "n_nationkey", "n_name")
-    return read_rows(spark, path, [("c0", Kind.INT64), ("c1", Kind.VARCHAR)], has_header=True)
-
-
-def copy_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cycle of three: the table's columns are c0, c1, c2; the file has the name, the region and the key.
-
-    Column i takes the field whose number is the place of the i-th destination in the table.
-    """
-    path = _nation_csv(spark, sf_dir, "n_name", "n_regionkey", "n_nationkey")
-    columns = [("c0", Kind.INT64), ("c1", Kind.INT64), ("c2", Kind.VARCHAR)]
-    return read_rows(spark, path, columns, has_header=True, destinations=["c1", "c2", "c0"])
-
-
-def copy_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _nation_csv(spark, sf_dir, "n_nationkey")
-    rows = read_rows(spark, path, [("c0", Kind.INT64)], has_header=True)
-    return rows.unionAll(rows)
-
-
 def cli_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_rows(spark).toDF("c0", "c1", "c2", "c3")
 
 
 def stats_int_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BoundTables(spark, sf_dir).scan("orders").agg(mean("o_custkey").alias("c0"))
+    return BoundTables(spark, sf_dir, WHOLE).scan("orders").agg(mean("o_custkey").alias("c0"))
 
 
 def stats_char_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = byte_histogram(BoundTables(spark, sf_dir).scan("customer"), "c_mktsegment")
+    counted = byte_histogram(BoundTables(spark, sf_dir, WHOLE).scan("customer"), "c_mktsegment")
     return counted.select(F.chr("byte").alias("c0"), F.col("n").alias("c1"))
 
 
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
-    "copy_roundtrip": (copy_roundtrip, "SELECT n_nationkey::BIGINT c0, n_name c1 FROM nation"),
-    "copy_permuted": (copy_permuted, "SELECT n_regionkey::BIGINT c0, n_nationkey::BIGINT c1, n_name c2 FROM nation"),
-    "copy_twice": (copy_twice, "SELECT n_nationkey::BIGINT c0 FROM nation UNION ALL SELECT n_nationkey::BIGINT c0 FROM nation"),
+    **engine_queries.QUERIES,
     "cli_gen": (cli_gen, "SELECT (CASE WHEN i%2=0 THEN 1 ELSE -1 END)::BIGINT c0, (2*(i+1))::BIGINT c1, 'Hello' c2, 'There' c3 FROM range(1000) t(i)"),
     "stats_int_avg": (stats_int_avg, "SELECT avg(o_custkey) c0 FROM orders"),
     "stats_char_hist": (stats_char_hist, "SELECT ch c0, count(*) c1 FROM (SELECT unnest(string_split(c_mktsegment,'')) ch FROM customer) GROUP BY ch"),
