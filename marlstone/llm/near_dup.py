@@ -4,7 +4,9 @@ A fingerprint has 64 bits; two fingerprints link when they differ in at most ``m
 fingerprints are one node. Fingerprints are cut into segments. Each node lies in a table under each of its
 segments, and probes it with the small Hamming ball around each segment; complete distances are verified in the
 join. With three segments and at most four bits, linked fingerprints differ by at most one bit in some segment, with
-two by at most two bits, so the search is exact.
+two by at most two bits, so the search is exact. A slot with very many entries, such as texts from one template may
+share, is divided by the bits outside its segment: these are cut into one piece more than bits may differ, so linked
+fingerprints agree in one of the pieces, and only nodes that share a piece are compared.
 
 No group is expanded into all its pairs. Every slot of the table has a leader, its smallest fingerprint. First
 each probe is tried against the leader it meets: at most one row for each. The components of these links are
@@ -50,6 +52,8 @@ class SimHash:
     #: are the same ones: three need 34 probes a fingerprint, two need 530.
     segments: int | None = None
     three_segments_upto: int = 1 << 26
+    #: Entries of a slot beyond which it is divided by pieces of the other bits. The links are the same ones.
+    hot_slot: int = 4096
     seed: int = 42
 
 
@@ -198,6 +202,32 @@ def _probes(nodes: DataFrame, cut: list[_Segment], radius: int) -> DataFrame:
     return nodes.select("*", F.explode(F.concat(*[_ball(s.of(F.col("f0")), s, radius) for s in cut])).alias("slot"))
 
 
+def hot_slots(nodes: DataFrame, cut: list[_Segment], most: int) -> DataFrame:
+    """Slots of more than ``most`` entries of nodes(f0), as hot."""
+    return _entries(nodes, cut).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("slot").alias("hot"))
+
+
+def _pieces(segment: _Segment, n: int) -> Column:
+    """The bits of f0 outside the segment, cut into n pieces; each holds its number, from 1, and its bits."""
+    beyond, rest = (segment.shift + segment.width) % 64, 64 - segment.width
+    # Turned so that the segment's bits are the highest.
+    turned = F.shiftrightunsigned("f0", beyond).bitwiseOR(F.shiftleft("f0", 64 - beyond)) if beyond else F.col("f0")
+    ends = [rest * k // n for k in range(n + 1)]
+    cut = [F.shiftrightunsigned(turned, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(ends, ends[1:])]
+    return F.array(*[piece + F.lit((k + 1) << 40) for k, piece in enumerate(cut)])
+
+
+def _divided(rows: DataFrame, hot: DataFrame, cut: list[_Segment], n: int) -> DataFrame:
+    """rows(f0, slot, ...) with piece: 0, but in a slot of hot(hot) each of the n pieces of the other bits.
+
+    Where two words differ in fewer than n bits outside a segment, one of these pieces is the same.
+    """
+    pieces = F.array(F.lit(0).cast("bigint"))
+    for segment in cut:
+        pieces = F.when(F.col("hot").isNotNull() & (F.shiftright("slot", 40) == segment.number), _pieces(segment, n)).otherwise(pieces)
+    return rows.join(hot, F.col("slot") == F.col("hot"), "left").withColumn("piece", F.explode(pieces)).drop("hot")
+
+
 def _distance(left: list[Column], right: list[Column]) -> Column:
     return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right)), F.lit(0))
 
@@ -206,20 +236,32 @@ def _link(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def probe_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment], leaders_only: bool) -> DataFrame:
-    """Links (a, b) of nodes(f0, part) between different parts, verified by complete distance."""
-    left = _probes(nodes, cut, rule.max_bits // len(cut)).select(F.col("f0").alias("fa"), F.col("part").alias("pa"), "slot")
-    right = _entries(nodes, cut).select(F.col("f0").alias("fb"), F.col("part").alias("pb"), F.col("slot").alias("__slot"))
-    if leaders_only:
-        right = right.groupBy("__slot").agg(F.min(F.struct("fb", "pb")).alias("l")).select("__slot", "l.*")
-    near = _distance([F.col("fa")], [F.col("fb")]) <= rule.max_bits
-    pairs = left.join(right, (F.col("slot") == F.col("__slot")) & (F.col("pa") != F.col("pb")) & near).select(*_link("fa", "fb")).distinct()
-    if not leaders_only:
-        return pairs
-    # Of a node's leaders two are enough to merge what the other join need not compare.
+def leader_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment]) -> DataFrame:
+    """Links (a, b) of nodes(f0, part) to leaders of the slots they probe; of a node's leaders two are enough."""
+    leaders = _entries(nodes, cut).groupBy("slot").agg(F.min(F.struct(F.col("f0").alias("fb"), F.col("part").alias("pb"))).alias("l"))
+    pairs = _near_pairs(_probes(nodes, cut, rule.max_bits // len(cut)), leaders.select("slot", "l.*"), ["slot"], rule)
+    # They merge what the other join need not compare.
     return pairs.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b"))
 
 
+def probe_links(nodes: DataFrame, rule: SimHash, cut: list[_Segment], hot: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes(f0, part) between different parts; slots of hot(hot) are divided."""
+    n = rule.max_bits + 1
+    left = _divided(_probes(nodes, cut, rule.max_bits // len(cut)), hot, cut, n)
+    right = _divided(_entries(nodes, cut), hot, cut, n).withColumnsRenamed({"f0": "fb", "part": "pb"})
+    return _near_pairs(left, right, ["slot", "piece"], rule)
+
+
+def _near_pairs(left: DataFrame, right: DataFrame, keys: list[str], rule: SimHash) -> DataFrame:
+    """Distinct pairs of left(f0, part, keys) and right(fb, pb, keys) of different parts, by complete distance."""
+    left = left.select(F.col("f0").alias("fa"), F.col("part").alias("pa"), *keys)
+    right = right.select("fb", "pb", *[F.col(k).alias(f"__{k}") for k in keys])
+    wanted = (F.col("pa") != F.col("pb")) & (_distance([F.col("fa")], [F.col("fb")]) <= rule.max_bits)
+    for key in keys:
+        wanted = (F.col(key) == F.col(f"__{key}")) & wanted
+    return left.join(right, wanted).select(*_link("fa", "fb")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b): each linked node but the smallest of its component, and that smallest node, of links(a, b) with a > b."""
     spark = links.sparkSession
@@ -261,8 +303,9 @@ def simhash_groups(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "do
     nodes = tables.written(rows.groupBy("f0").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     cut = _segments(rule.segments or (3 if nodes.count() <= rule.three_segments_upto else 2))
     parts = nodes.withColumn("part", F.col("f0"))
-    for leaders_only in (True, False):
-        parts = _merged(parts, probe_links(parts.select("f0", "part"), rule, cut, leaders_only), tables)
+    parts = _merged(parts, leader_links(parts.select("f0", "part"), rule, cut), tables)
+    hot = tables.written(hot_slots(nodes.select("f0"), cut, rule.hot_slot), "simhash-hot")
+    parts = _merged(parts, probe_links(parts.select("f0", "part"), rule, cut, hot), tables)
     shape = ["doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id"]
     return _placed(rows, parts, tables, shape)
 

@@ -67,14 +67,45 @@ def test_fingerprint_of_blocks():
     assert q.fingerprint("ÀB c") == fingerprint("Àb C") and q.fingerprint(None) == 0
 
 
-@pytest.mark.parametrize("segments", [None, 2])
-def test_near_copies_against_all_pairs(spark, segments):
+@pytest.mark.parametrize("rule", [q.SimHash(), q.SimHash(segments=2), q.SimHash(hot_slot=0), q.SimHash(segments=2, hot_slot=1)])
+def test_near_copies_against_all_pairs(spark, rule):
     rows = near_copies()
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(q.simhash_groups(table, q.SimHash(segments=segments))) == brute(rows)
+    assert got(q.simhash_groups(table, rule)) == brute(rows)
     assert len({r.split(", ")[-1] for r in brute(rows)}) < 60
 
 
+def pairs_of(words, most=4):
+    values = np.array(words, dtype=np.int64).view(np.uint64)
+    return {(max(words[i], words[j]), min(words[i], words[j])) for i in range(len(words)) for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= most)}
+
+
+@pytest.mark.parametrize("segments", [2, 3])
+def test_divided_slots_against_all_pairs(spark, segments):
+    # Words with equal bits in one segment, random ones elsewhere, and neighbours of them at one to five bits.
+    generator, cut, words = random.Random(3), q._segments(segments), set()
+    for segment in cut:
+        mask, fixed = ((1 << segment.width) - 1) << segment.shift, generator.getrandbits(64)
+        for k in range(150):
+            word = generator.getrandbits(64) & ~mask | fixed & mask
+            words |= {word, word ^ sum(1 << b for b in generator.sample(range(64), k % 5 + 1))}
+    words = np.array(sorted(words), dtype=np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(w, w) for w in words], "f0 long, part long")
+    for most, compared in ((100, segments), (10**6, 0)):
+        hot = q.hot_slots(nodes, cut, most)
+        assert hot.count() == compared
+        assert set(map(tuple, q.probe_links(nodes, q.SimHash(), cut, hot).collect())) == pairs_of(words)
+
+
+def test_divided_slots_compare_few(spark):
+    cut, generator = q._segments(3), random.Random(4)
+    words = [generator.getrandbits(63) >> 22 << 22 | 5 for _ in range(2000)]
+    entries = q._entries(spark.createDataFrame([(w, w) for w in words], "f0 long, part long"), cut[:1])
+    divided = q._divided(entries, q.hot_slots(entries.select("f0", "part"), cut, 1000), cut, 5)
+    sizes = [r["count"] for r in divided.groupBy("slot", "piece").count().collect()]
+    assert sum(sizes) == 5 * 2000 and sum(n * n for n in sizes) < 2000**2 / 20
+
+
 def test_documents_against_all_pairs(spark):
     docs = documents(spark, SF)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
