@@ -77,13 +77,20 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """docs without the rows whose text a kept row has; every column as it was.
+    """docs with one row for each text, that of the smallest id; every column as it was.
 
-    The verdicts are those of exact_dedup: null texts count as empty, very long ones are compared whole, and rows
-    that repeat the smallest id of their text all stay, as they are one document; so do all rows of a text that
-    has no id. An empty table gives no rows.
+    Texts are equal as in exact_dedup: null texts count as empty, and very long ones are compared whole. Of rows that
+    repeat the smallest id of their text, or of a text that has no id at all, one stays: where other columns differ
+    it is chosen by a hash of the row, so reruns agree. An empty table gives no rows.
     """
-    gone = exact_dedup(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
-    packed = docs.select(quoted(id_col).alias("id"), F.sha2(normalised(quoted(text_col)), 256).alias("sha"), whole_row(docs).alias("row"))
-    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha"))
-    return packed.join(gone, same, "left_anti").select("row.*")
+    judged = exact_dedup(docs, id_col, text_col, salts)
+    verdicts, _ = written(judged.select(F.col("doc_id").alias("of_id"), F.unhex("text_sha256").alias("of_sha"), "kept"), "exact-verdicts")
+    repeated = verdicts.where("kept").groupBy("of_id", "of_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated, _ = written(repeated, "exact-repeated")
+    packed = docs.select(quoted(id_col).alias("id"), sha256_bytes(normalised(quoted(text_col))).alias("sha"), whole_row(docs).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha") == F.col("of_sha"))
+    stay = packed.join(verdicts.where(~F.col("kept")), same, "left_anti")
+    if repeated.isEmpty():
+        return stay.select("row.*")
+    once = stay.join(repeated, same).groupBy("id", "sha").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return stay.join(repeated, same, "left_anti").select("row.*").union(once.select("row.*"))
