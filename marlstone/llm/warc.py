@@ -8,7 +8,8 @@ goes by the index.
 
 Every attempt of a task writes files of its own names, and a file counts only where the table of archives,
 which Spark commits for one attempt, names it. So executors can be lost at any time. Files are reached by
-pyarrow's file systems, in the shared folder (so its URI must be of a kind that both Spark and pyarrow know); memory holds one record at a time and one buffer of the stream.
+pyarrow's file systems, in the shared folder (so it must be of a kind that both Spark and pyarrow know); a path without
+a scheme is on Spark's default file system. Memory holds one record at a time and one buffer of the stream.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import scratch_path, written
@@ -118,6 +119,18 @@ def _chunks(source) -> Iterator[bytes]:
         yield data
 
 
+def located(spark: SparkSession, folder: str) -> str:
+    """The folder's whole URI, by Spark's file systems, with pyarrow's name for those that Spark calls s3a or s3n."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return pyarrow_uri(uri)
+
+
+def pyarrow_uri(uri: str) -> str:
+    scheme, _, rest = uri.partition(":")
+    return f"s3:{rest}" if scheme in ("s3a", "s3n") else uri
+
+
 class _Files:
     """The shared folder as executors reach it."""
 
@@ -205,7 +218,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     are responses alike.
     """
     spark = pages.sparkSession
-    folder = folder or scratch_path(spark, "warc")
+    folder = located(spark, folder or scratch_path(spark, "warc"))
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,15 @@ def test_round_trip(spark, tmp_path):
     assert any(n.endswith(".mono.warc.gz") for n in names) and any(n.endswith(".idx") for n in names)
 
 
+def test_folders(spark, tmp_path):
+    """A path without a scheme is on Spark's default file system; a name with a space stays one."""
+    folder = tmp_path / "a b"
+    assert sorted(map(repr, map(tuple, w.round_trip(spark.createDataFrame([(*r, "p", 1) for r in ROWS], SCHEMA), str(folder)).collect()))) == brute(ROWS)
+    assert any(p.name.endswith(".idx") for p in folder.iterdir())
+    assert w.located(spark, str(tmp_path)).startswith("file:/")
+    assert w.pyarrow_uri("s3a://bucket/k:1") == "s3://bucket/k:1" and w.pyarrow_uri("hdfs://host:9/k") == "hdfs://host:9/k"
+
+
 def test_small_archives_and_contents(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
     archives = w.write_archives(pages, f"file://{tmp_path}", archive_bytes=2000)
