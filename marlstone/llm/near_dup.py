@@ -12,7 +12,8 @@ No group is expanded into all its pairs. Every slot of the table has a leader, i
 each probe is tried against the leader it meets: at most one row for each. The components of these links are
 merged, and a second join, of probes and all entries, returns only links between different ones. Components
 come from alternating large-star and small-star steps over written tables. All is distributed; nothing of the
-corpus reaches the driver but counts.
+corpus reaches the driver but counts, slots that are divided (of these there are few) and filters of bounded size: other
+tables are shuffled, and none is broadcast for its size in a file or by an estimate, which leaves out that rows are exploded.
 
 The pipeline links texts by the Jaccard similarity of their sets of shingles. Candidates are texts that share a
 band of minima of random functions of the shingles; each is verified by the two whole sets, and no estimate is the
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import Scratch, quoted, remove, whole_row, written
+from marlstone.llm.shared import Scratch, quoted, remove, shuffled, whole_row, written
 from marlstone.shipping import ship
 
 #: Shingles whose bits are counted at once.
@@ -259,7 +260,7 @@ def _near_pairs(left: DataFrame, right: DataFrame, keys: list[str], rule: SimHas
     wanted = (F.col("pa") != F.col("pb")) & (_distance([F.col("fa")], [F.col("fb")]) <= rule.max_bits)
     for key in keys:
         wanted = (F.col(key) == F.col(f"__{key}")) & wanted
-    return left.join(right, wanted).select(*_link("fa", "fb")).distinct()
+    return left.join(shuffled(right), wanted).select(*_link("fa", "fb")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -270,9 +271,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(shuffled(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(shuffled(lower), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
         told = Observation()
         checked = after.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
@@ -287,7 +288,7 @@ def components(links: DataFrame) -> DataFrame:
 def _rooted(nodes: DataFrame, key: str, roots: DataFrame, name: str) -> DataFrame:
     """nodes with ``name``: the root of column ``key``, itself where roots(a, b) has none."""
     found = roots.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
-    return nodes.join(found, F.col(key) == F.col("__a"), "left").withColumn(name, F.coalesce("__b", key)).drop("__a", "__b")
+    return nodes.join(shuffled(found), F.col(key) == F.col("__a"), "left").withColumn(name, F.coalesce("__b", key)).drop("__a", "__b")
 
 
 def simhash_groups(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,15 +314,15 @@ def simhash_groups(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "do
 def _placed(rows: DataFrame, parts: DataFrame, tables: Scratch, shape: list) -> DataFrame:
     """rows(doc_id, f0) with component_id, the smallest id of their part, written; the other tables go."""
     ids = tables.written(parts.groupBy("part").agg(F.min("first").alias("component_id")), "near-ids")
-    found = tables.written(parts.select("f0", "part").join(ids, "part").select("f0", "component_id"), "near-components")
-    out, _ = written(rows.select("doc_id", "f0").join(found, "f0").select(*shape), "near-groups")
+    found = tables.written(parts.select("f0", "part").join(shuffled(ids), "part").select("f0", "component_id"), "near-components")
+    out, _ = written(rows.select("doc_id", "f0").join(shuffled(found), "f0").select(*shape), "near-groups")
     tables.clear()
     return out
 
 
 def _merged(parts: DataFrame, links: DataFrame, tables: Scratch) -> DataFrame:
     """parts(f0, part, ...) with the parts of linked nodes made one."""
-    of = parts.select("f0", "part")
+    of = shuffled(parts.select("f0", "part"))
     bridges = links.join(of.toDF("a", "pa"), "a").join(of.toDF("b", "pb"), "b").select(*_link("pa", "pb"))
     roots = components(bridges)
     return tables.written(_rooted(parts, "part", roots, "root").drop("part").withColumnRenamed("root", "part"), "near-parts")
@@ -382,7 +383,7 @@ def similar_groups(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_
     nodes = tables.written(nodes, "similar-nodes")
     each = nodes.select("f0", F.explode("slots").alias("slot"))
     shared = each.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = tables.written(each.join(shared, "slot"), "similar-slots")
+    shared = tables.written(each.join(shuffled(shared), "slot"), "similar-slots")
     full = shared.groupBy("f0").agg(F.sum("n").alias("full")).join(nodes.select("f0", *sketch), "f0")
     entries = tables.written(shared.select("f0", "slot").join(full, "f0"), "similar-entries")
     ranked = entries.groupBy("slot").agg(F.max(F.struct("full", "f0", *sketch)).alias("l"))

@@ -87,6 +87,15 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles both sides, whatever Spark estimates.
+
+    The estimates know neither how many rows an explode makes nor how well a file is compressed; a table that
+    they take for a small one is collected by the driver to be broadcast.
+    """
+    return df.hint("merge")
+
+
 class Scratch:
     """Written tables of one computation, all removed together once its result is written."""
 
