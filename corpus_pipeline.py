@@ -25,7 +25,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, by sets of five-word shingles and a similarity of 0.8 or more, the document with the smallest id."""
+    """Of near copies, the document with the smallest id: SimHash links, verified by whole sets of five-word shingles to be
+    of a similarity of 0.8 or more, and what is as similar beyond the bits that SimHash allows."""
     return near_dup.drop_near_copies(docs)
 
 

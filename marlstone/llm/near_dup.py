@@ -15,10 +15,12 @@ come from alternating large-star and small-star steps over written tables. All i
 corpus reaches the driver but counts, slots that are divided (of these there are few) and filters of bounded size: other
 tables are shuffled, and none is broadcast for its size in a file or by an estimate, which leaves out that rows are exploded.
 
-The pipeline links texts by the Jaccard similarity of their sets of shingles. Candidates are texts that share a
-band of minima of random functions of the shingles; each is verified by the two whole sets, and no estimate is the
-last word. Here a slot is a band, and its leader the node whose bands are the fullest, as the original of many
-copies is. Texts with equal sets are one node.
+The pipeline links texts by the Jaccard similarity of their sets of shingles. The first candidates are the links of
+fingerprints, found as above; each is verified by the two whole sets, and no estimate is the last word. Fingerprints
+of similar texts may differ in more bits, so what SimHash leaves apart is then searched exactly: texts of different
+parts that share a band of minima of random functions of the shingles are candidates too, verified in the same way.
+Here a slot is a band, and its leader the node whose bands are the fullest, as the original of many copies is. Texts
+with equal sets are one node.
 """
 
 from __future__ import annotations
@@ -77,6 +79,8 @@ class Similar:
     #: Bits of the filter that tells which sets verification needs; an eighth of them is broadcast, in bytes.
     filter_bits: int = 24
     seed: int = 42
+    #: The fingerprints whose links are the first candidates.
+    simhash: SimHash = SimHash()
 
     @property
     def sketch(self) -> list[str]:
@@ -141,12 +145,13 @@ def minima(shingles: np.ndarray, rule: Similar) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, f0 (a hash of the whole set), slots (its bands), the sketch's columns, shingles (the set) of every row."""
+    """doc_id, f0 (a hash of the whole set), print (the text's fingerprint), slots (its bands), the sketch's columns, shingles (the set) of every row."""
     rows, sketch = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rule.sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _few_rows(whole)):
             n, sets = batch.num_rows, []
+            prints = np.array([fingerprint(text.as_py(), rule.simhash) for text in batch.column(1)], dtype=np.uint64)
             node, slots, bits = np.zeros(n, "<u8"), np.zeros((n, rule.bands), "<u8"), np.zeros((len(sketch), n), "<u8")
             for i, text in enumerate(batch.column(1)):
                 sets.append(np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingle_hashes(text.as_py(), rule.shingle, rule.seed)])))
@@ -157,12 +162,12 @@ def shingle_sets(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_id
                 bits[0, i], bits[1:, i] = len(sets[-1]), np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * rule.bands), pa.array(slots.ravel().view(np.int64)))
             ends, flat = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), np.concatenate([np.zeros(0, "<u8"), *sets])
-            columns = [batch.column(0), pa.array(node.view(np.int64)), bands, *[pa.array(b.view(np.int64)) for b in bits], pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "f0", "slots", *sketch, "shingles"])
+            columns = [batch.column(0), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), bands, *[pa.array(b.view(np.int64)) for b in bits], pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "f0", "print", "slots", *sketch, "shingles"])
 
     ship(docs.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, f0 bigint, slots array<bigint>, " + "".join(f"{c} bigint, " for c in sketch) + "shingles array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, f0 bigint, print bigint, slots array<bigint>, " + "".join(f"{c} bigint, " for c in sketch) + "shingles array<bigint>")
 
 
 def _few_rows(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
@@ -302,13 +307,37 @@ def simhash_groups(docs: DataFrame, rule: SimHash = SimHash(), id_col: str = "do
     tables = Scratch()
     rows = tables.written(fingerprints(docs, rule, id_col, text_col), "simhash-rows")
     nodes = tables.written(rows.groupBy("f0").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    parts, _ = _linked(nodes, rule, tables)
+    shape = ["doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id"]
+    return _placed(rows, parts, tables, shape)
+
+
+def _linked(nodes: DataFrame, rule: SimHash, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+    """nodes(f0, ...) with part, the smallest fingerprint of the component, and the links (a, b) that make the components."""
     cut = _segments(rule.segments or (3 if nodes.count() <= rule.three_segments_upto else 2))
     parts = nodes.withColumn("part", F.col("f0"))
-    parts = _merged(parts, leader_links(parts.select("f0", "part"), rule, cut), tables)
+    led = tables.written(leader_links(parts.select("f0", "part"), rule, cut), "simhash-led")
+    parts = _merged(parts, led, tables)
     hot = tables.written(hot_slots(nodes.select("f0"), cut, rule.hot_slot), "simhash-hot")
-    parts = _merged(parts, probe_links(parts.select("f0", "part"), rule, cut, hot), tables)
-    shape = ["doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id"]
-    return _placed(rows, parts, tables, shape)
+    met = tables.written(probe_links(parts.select("f0", "part"), rule, cut, hot), "simhash-met")
+    return _merged(parts, met, tables), led.unionByName(met)
+
+
+def simhash_pairs(nodes: DataFrame, rule: SimHash, tables: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes(f0, print, size): each and the largest with its fingerprint, and the largest of linked fingerprints."""
+    prints = nodes.groupBy("print").agg(F.max(F.struct("size", "f0")).alias("l")).select(F.col("print").alias("f0"), F.col("l.f0").alias("lead"))
+    prints = tables.written(prints, "similar-prints")
+    _, links = _linked(prints.select("f0"), rule, tables)
+    of = shuffled(prints)
+    between = links.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(*_link("la", "lb"))
+    same = nodes.select("f0", "print").join(of.toDF("print", "lead"), "print").where("f0 != lead").select(*_link("f0", "lead"))
+    return between.unionByName(same).distinct()
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose nodes are in different parts."""
+    of = shuffled(parts.select("f0", "part"))
+    return pairs.join(of.toDF("a", "pa"), "a").join(of.toDF("b", "pb"), "b").where("pa != pb").select("a", "b")
 
 
 def _placed(rows: DataFrame, parts: DataFrame, tables: Scratch, shape: list) -> DataFrame:
@@ -379,20 +408,24 @@ def similar_groups(docs: DataFrame, rule: Similar = SIMILAR, id_col: str = "doc_
     """
     tables, sketch = Scratch(), rule.sketch
     rows = tables.written(shingle_sets(docs, rule, id_col, text_col), "similar-rows")
-    nodes = rows.groupBy("f0").agg(F.min("doc_id").alias("first"), F.first("slots").alias("slots"), *[F.first(c).alias(c) for c in sketch])
+    nodes = rows.groupBy("f0").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.first("slots").alias("slots"), *[F.first(c).alias(c) for c in sketch])
     nodes = tables.written(nodes, "similar-nodes")
+    parts = nodes.select("f0", "first", F.col("f0").alias("part"))
+    parts = _merged(parts, _verified(simhash_pairs(nodes.select("f0", "print", "size"), rule.simhash, tables), rows, rule, tables), tables)
+    # The rest, by bands: only pairs of different parts are candidates.
     each = nodes.select("f0", F.explode("slots").alias("slot"))
     shared = each.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = tables.written(each.join(shuffled(shared), "slot"), "similar-slots")
+    shared, slots_path = written(each.join(shuffled(shared), "slot"), "similar-slots")
     full = shared.groupBy("f0").agg(F.sum("n").alias("full")).join(nodes.select("f0", *sketch), "f0")
     entries = tables.written(shared.select("f0", "slot").join(full, "f0"), "similar-entries")
+    remove(docs.sparkSession, slots_path)
     ranked = entries.groupBy("slot").agg(F.max(F.struct("full", "f0", *sketch)).alias("l"))
     leaders = tables.written(ranked.select("slot", *[F.col(f"l.{c}").alias(f"b_{c}") for c in ("full", "f0", *sketch)]), "similar-leaders")
     near = _may_link(rule)
     met = entries.join(leaders, "slot").where((F.col("f0") != F.col("b_f0")) & near).groupBy("f0").agg(F.collect_set(F.struct("b_full", "b_f0")).alias("l"))
     # Of a node's leaders, at most one for each band, the three fullest: they merge what the other join need not compare.
     first = met.select(F.col("f0").alias("a"), F.explode(F.slice(F.sort_array("l", asc=False), 1, 3)).alias("l")).select("a", F.col("l.b_f0").alias("b"))
-    parts = _merged(nodes.select("f0", "first", F.col("f0").alias("part")), _verified(first, rows, rule, tables), tables)
+    parts = _merged(parts, _verified(_apart(first, parts), rows, rule, tables), tables)
     # A link between parts has an end outside the part of its slot's leader.
     placed = entries.join(parts.select("f0", "part"), "f0")
     led = leaders.select("slot", F.col("b_f0").alias("f0")).join(parts.select("f0", F.col("part").alias("lead")), "f0").drop("f0")
